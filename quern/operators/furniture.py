@@ -21,3 +21,9 @@ def repeated_lines(df: DataFrame, key: str, text: str, *, min_share: float = 0.5
     total = df.agg(F.countDistinct(F.col(key)).alias("total"))
     counted = short.select("k", "line").distinct().groupBy("line").agg(F.count("k").alias("n_docs"))
     return counted.join(F.broadcast(total), F.col("n_docs") > F.lit(min_share) * F.col("total")).select("line", "n_docs")
+
+
+def without_lines(df: DataFrame, key: str, text: str, lines: DataFrame) -> DataFrame:
+    """(key, pos, line) of the non-blank lines that aren't among ``lines`` (line)."""
+    kept = _lines(df, key, text).filter("line <> ''")
+    return kept.join(lines.select("line"), "line", "left_anti").select(F.col("k").alias(key), "pos", "line")
