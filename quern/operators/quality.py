@@ -42,8 +42,8 @@ def check(df: DataFrame, bad: Column, rule: str, entity: str, key: Column | str,
 def unique(df: DataFrame, keys: Iterable[str], rule: str, entity: str, *, when: Column | None = None) -> DataFrame:
     """Keys that occur more than once. Nulls are values: two null keys collide."""
     keys = list(keys)
-    counted = (df if when is None else df.filter(when)).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-    return _as(counted, rule, entity, _key(*keys), F.format_string("occurs %d times", "n"))
+    counted = (df if when is None else df.filter(when)).groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return _as(counted, rule, entity, _key(*keys), F.format_string("occurs %d times", "_n"))
 
 
 def references(child: DataFrame, key: str, parent: DataFrame, parent_key: str, rule: str, entity: str, row_key: str | None = None) -> DataFrame:
