@@ -80,6 +80,8 @@ def measure(raws: list[bytes]) -> np.ndarray:
             window = window * np.uint64(0x9E3779B97F4A7C15) + value[k : n + k]
         doc = np.repeat(np.arange(len(raws)), sizes)
         whole = np.flatnonzero(doc[:n] == doc[_WINDOW - 1 :])
+        if not len(whole):
+            return out
         window = window[whole] ^ (doc[whole].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
         order = np.argsort(window)
         same = window[order][1:] == window[order][:-1]
