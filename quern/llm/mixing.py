@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
     inside = F.sum("size").over(Window.partitionBy("src", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0))
     d = written(d.join(ahead, ["src", "range"]).withColumn("cum", F.col("ahead") + inside).select("doc_id", "row_key", "size", "source_size", "target", "src", "cum"), "mix-order")
 
-    finish = [(F.lit(e) * F.col("source_size") + F.col("cum")).cast("double") / F.col("target") for e in range(most)]
+    finish = [F.try_divide((F.lit(e) * F.col("source_size") + F.col("cum")).cast("double"), F.col("target")) for e in range(most)]
     live = d.filter((F.col("size") > 0) & (F.col("target") > 0))
 
     def placed(f: Column) -> tuple[Column, Column]:
@@ -115,7 +115,7 @@ def mixture(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
     """
     nth = Window.partitionBy("mix_row").orderBy(F.lit(1))
     shares = mixed(docs, text=text, key=key, source=source, most=most).filter("taken > 0")
-    shares = shares.groupBy(F.col("row_key").alias("mix_row")).agg(F.array_sort(F.collect_list((F.col("taken") / F.col("size")).cast("int"))).alias("mix_shares"))
+    shares = shares.groupBy(F.col("row_key").alias("mix_row")).agg(F.array_sort(F.collect_list(F.try_divide("taken", "size").cast("int"))).alias("mix_shares"))
     rows = docs.withColumn("mix_row", F.xxhash64(F.col(key), F.col(source), F.col(text))).withColumn("mix_nth", F.row_number().over(nth))
     joined = rows.join(shares, "mix_row").withColumn("mix_copies", F.get("mix_shares", F.col("mix_nth") - 1))
     return joined.filter("mix_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "mix_copies")
