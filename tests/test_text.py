@@ -106,3 +106,7 @@ def test_key_file_names(value):
 def test_days(spark):
     row = spark.sql("select date'2026-06-01' d").select(dates.last_sunday_of_may(F.lit(2026)), dates.next_exam(C("d")), dates.sunday_first(F.lit("2026-05-31").cast("date"))).first()
     assert [str(x) for x in row] == ["2026-05-31", "2027-05-30", "0"]
+
+
+def test_booklet_lines(value):
+    assert value(tx.without_booklet_lines(C("x"), (r"www\.example\.in",)), x="a [ 12 ] b www.example.in c Space for  Rough Work") == "a b c"
