@@ -30,7 +30,8 @@ def json_document(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 def json_batches(spark: SparkSession, pattern: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """(readable batches, unreadable ones), each with its file's name."""
-    read = json_document(spark, pattern, schema).withColumn("file", F.col("_metadata.file_name"))
+    whole = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    read = whole.select("file", F.from_json("value", _schema(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).select("file", "d.*")
     return read.filter("_corrupt_record is null").drop("_corrupt_record"), read.filter("_corrupt_record is not null").select("file", "_corrupt_record")
 
 
