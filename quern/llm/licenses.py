@@ -132,3 +132,26 @@ def scanned(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(7))], names=names)
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def _oracle_sql() -> str:
+    """The same result in SQL: phrases looked for one by one in each text's words."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    at = lambda p: f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = {x!r}' for k, x in enumerate(p.split()))})"
+    holds = lambda p: f"contains(j, ' {p} ')"
+    places = " || ".join(f"list_transform({at(p)}, lambda i: i - 1)" for p, _ in BASE)
+    base = ", ".join(f"CASE WHEN {holds(p)} THEN '{lab}' END" for p, lab in BASE)
+    more = ", ".join(f"CASE WHEN {' AND '.join(map(holds, (p, *keys)))} THEN '{lab}' END" for p, lab, keys in MORE)
+    longest = ", ".join(f"CASE WHEN {holds(p)} AND list_contains(labels, '{lab}') THEN {len(p.split())} ELSE 0 END" for p, lab, *_ in (*BASE, *MORE))
+    distinct = lambda x: f"list_sort(list_distinct(list_filter([{x}], lambda x: x IS NOT NULL)))"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j, {places} AS places FROM d),
+l AS (SELECT *, {distinct(base)} AS base, {distinct(f"{base}, {more}")} AS labels FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  array_to_string(base, ',') AS base_labels, array_to_string(labels, ',') AS labels,
+  CASE WHEN len(labels) = 0 THEN 0.0::DOUBLE ELSE 1 - pow(0.5::DOUBLE, greatest({longest})) END AS score FROM l
+"""
+
+
+ORACLE_SQL = _oracle_sql()

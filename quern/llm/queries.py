@@ -58,4 +58,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_quality_rules": rule_ledger.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_source_mixing": mixing.ORACLE_SQL, "op9_license_scan": licenses.ORACLE_SQL, "op10_quality_rules": rule_ledger.ORACLE_SQL}
