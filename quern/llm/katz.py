@@ -144,9 +144,10 @@ def chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, flat: np.ndarray, si
         dest[spread] = _bucket((h[flat[spread]] ^ (h[first[spread]] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD1342543DE82EF95), parts)
     n = len(h)
     key = (dest * n + rank[flat]) * n + rank[first]
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    del dest, first
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order].astype(np.uint16)
+    key, doc = key[order], np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
+    del order
     pair = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     many = np.diff(np.r_[pair, len(key)])
     k = key[pair]
@@ -218,7 +219,9 @@ class Part:
             pair = np.repeat(self.pair[begin : begin + n], many)
             begin += n
             open_ = held[doc]
-            rows.append((chunk % parts, chunk, SUMS, pack(np.array([s.tokens, s.docs], np.int64), np.bincount(doc, base[pair], size), np.bincount(doc, score[pair], size), np.bincount(doc[open_], known[pair[open_]], size).astype(np.uint32))))
+            here = np.flatnonzero(np.bincount(doc, minlength=size))
+            sums = (np.bincount(doc, base[pair], size)[here], np.bincount(doc, score[pair], size)[here], np.bincount(doc[open_], known[pair[open_]], size)[here].astype(np.uint32))
+            rows.append((chunk % parts, chunk, SUMS, pack(np.array([s.tokens, s.docs], np.int64), here.astype(np.uint16), *sums)))
             lost = np.flatnonzero(open_)
             lost = lost[~seen[pair[lost]]]
             if len(lost):
@@ -240,17 +243,20 @@ def _to_first(v: np.ndarray, left: np.ndarray, mass: np.ndarray, asks: list, par
     for k in np.unique(dest).tolist():
         a, b = cut[k], cut[k + 1]
         rows.append((k, -1, FIRST, pack((v[a:b] >> np.uint64(16)).astype(np.uint32), (v[a:b] & np.uint64(0xFFFF)).astype(np.uint16), left[a:b].astype(np.float64), mass[a:b].astype(np.float64))))
-    for chunk, keys, doc in asks:
+    if asks:  # one row for each partition, whatever the number of chunks
+        chunks = np.array([c for c, _, _ in asks], np.int64)
+        of, keys, doc = np.repeat(np.arange(len(asks), dtype=np.uint32), [len(d) for _, _, d in asks]), np.concatenate([x for _, x, _ in asks]), np.concatenate([d for _, _, d in asks])
         dest = _first_bucket(keys, parts)
         order = np.argsort(dest, kind="stable")
-        dest, keys, doc = dest[order], keys[order], doc[order]
-        cut = np.searchsorted(dest, np.arange(parts + 1))
+        of, keys, doc = of[order], keys[order], doc[order]
+        cut = np.searchsorted(dest[order], np.arange(parts + 1))
         for k in np.unique(dest).tolist():
-            rows.append((k, chunk, FIX, pack(keys[cut[k] : cut[k + 1]], doc[cut[k] : cut[k + 1]])))
+            mine = slice(cut[k], cut[k + 1])
+            rows.append((k, -1, FIX, pack(chunks, of[mine], keys[mine], doc[mine])))
     return rows
 
 
-def fixes(firsts: list[bytes], asks: list[tuple[int, bytes]]) -> list[tuple]:
+def fixes(firsts: list[bytes], asks: list[bytes]) -> list[tuple]:
     """log10 of alpha over the share that a seen bigram's context has, summed by document, for the requests of one partition."""
     v, left, mass = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0)]
     for blob in firsts:
@@ -260,14 +266,16 @@ def fixes(firsts: list[bytes], asks: list[tuple[int, bytes]]) -> list[tuple]:
     left, mass = np.bincount(of, np.concatenate(left), len(keys)), np.bincount(of, np.concatenate(mass), len(keys))
     fix = np.append(np.log10((left + 0.5) / np.maximum(1 - mass, 1e-12)), 0.0)
     keys = np.append(keys, np.uint64(2**64 - 1))
-    rows = []
-    for chunk, blob in asks:
-        want, doc = unpack(blob, np.uint64, np.uint16)
+    where, got = [], []
+    for blob in asks:
+        chunks, of, want, doc = unpack(blob, np.int64, np.uint32, np.uint64, np.uint16)
         at = np.searchsorted(keys, want)
-        got = np.where(keys[at] == want, fix[at], 0.0)
-        docs, of = np.unique(doc, return_inverse=True)
-        rows.append((chunk, chunk, FIX, pack(docs, np.bincount(of, got, len(docs)))))
-    return rows
+        where.append((chunks[of] << 16) | doc), got.append(np.where(keys[at] == want, fix[at], 0.0))
+    where, of = np.unique(np.concatenate(where), return_inverse=True)
+    got = np.bincount(of, np.concatenate(got), len(where))
+    chunk = where >> 16
+    edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
+    return [(int(chunk[a]), int(chunk[a]), FIX, pack((where[a:b] & 0xFFFF).astype(np.uint16), got[a:b])) for a, b in zip(edge[:-1], edge[1:])]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -375,7 +383,7 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
             yield from _in_parts([(c, c, kind, blob) for c, kind, blob in rows if kind in (DOCS, SUMS)])
-            asks = [(c, blob) for c, kind, blob in rows if kind == FIX]
+            asks = [blob for _, kind, blob in rows if kind == FIX]
             if asks:
                 yield from _in_parts(fixes([blob for _, kind, blob in rows if kind == FIRST], asks))
 
@@ -389,11 +397,11 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out
             base, score, known, tokens, n = np.zeros(len(held)), np.zeros(len(held)), np.zeros(len(held), np.int64), 0, 0
             for _, k, blob in rows:
                 if k == SUMS:
-                    total, b, s, m = unpack(blob, np.int64, np.float64, np.float64, np.uint32)
+                    total, doc, b, s, m = unpack(blob, np.int64, np.uint16, np.float64, np.float64, np.uint32)
                     tokens, n = int(total[0]), int(total[1])
-                    base += b
-                    score += s
-                    known += m
+                    base[doc] += b
+                    score[doc] += s
+                    known[doc] += m
                 elif k == FIX:
                     doc, x = unpack(blob, np.uint16, np.float64)
                     score[doc] += x
