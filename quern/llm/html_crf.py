@@ -259,7 +259,10 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, str]]:
             return r.choice((f'<form action="/s"><label>{say(1, 3)}</label><input name=q><button>{say(1, 1)}</button></form>', f'<form class="signup"><p>{say(3, 12)}</p><input type=email></form>', f"<form><fieldset><legend>{say(1, 2)}</legend><p>{say(3, 9)}</p></fieldset></form>"))
         if kind == "comments":
             t, c = r.choice(("div", "section", "ol")), r.choice(("comments", "comment-list", "discussion", "reader-comments", "replies"))
-            inner = "".join(f'<{"li" if t == "ol" else r.choice(("div", "article", "p"))} class="comment"><p>{say(4, 40)}</p>' + f'</{"li" if t == "ol" else "div"}>' for _ in range(r.randint(1, 4)))
+            inner = ""
+            for _ in range(r.randint(1, 4)):
+                one = "li" if t == "ol" else r.choice(("div", "article"))
+                inner += f'<{one} class="comment"><p>{say(4, 40)}</p></{one}>'
             return f'<{t} {r.choice(("class", "id"))}="{c}"><h3>{say(1, 2)}</h3>{inner}</{t}>'
         return f"<script>var t='</p>';{r.choice(words)}(0);</script>" if kind == "script" else f"<!-- {say(1, 3)} -->"
 
@@ -288,14 +291,19 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, str]]:
                 put("h2", say(1, 5))
             elif form < 0.87:
                 parts.append("<blockquote>"), put("p", say(5, 30)), parts.append("</blockquote>")
-            elif form < 0.94:
+            elif form < 0.89:
+                parts.append("<table><tr>"), put("td", say(1, 6)), put("td", say(1, 6)), parts.append("</tr></table>")
+            elif form < 0.91:
+                parts.append("<figure><img src=x>"), put("figcaption", say(3, 12)), parts.append("</figure>")
+            elif form < 0.95:
                 tag = r.choice(("ul", "ol"))
                 parts.append(f"<{tag}>")
                 for _ in range(r.randint(2, 5)):
                     put("li", say(2, 14))
                 parts.append(f"</{tag}>")
             else:
-                parts.append("<div>"), put("p", say(5, 40)), parts.append("</div>")
+                tag = r.choice(("div", "section"))
+                parts.append(f"<{tag}>"), put("p", say(5, 40)), put("p", say(5, 40)), parts.append(f"</{tag}>")
             if r.random() < noisy:
                 parts.append(noise(r.choice(("ad", "ad", "script", "form", "notice", "side", "mark"))))
         return "".join(parts), said
