@@ -229,10 +229,15 @@ def rank_topics(queries: DataFrame, bags: DataFrame, topics: int, *, key: str =
 
 
 def duplicates_of(rows: DataFrame, identity: Column, key: str, seq: str) -> DataFrame:
-    """Rows whose identity an earlier row has, with that first row's key."""
-    w = Window.partitionBy("_identity").orderBy(seq)
-    marked = rows.withColumn("_identity", identity).withColumn("first_of", F.first(key).over(w)).withColumn("_place", F.row_number().over(w))
-    return marked.filter("_place > 1").drop("_identity", "_place")
+    """Rows whose identity an earlier row has, with that first row's key. Null identities are equal.
+
+    Identities travel as hashes, and first rows are aggregated before the exchange, so neither
+    long texts nor a large group of copies burdens one task.
+    """
+    marked = rows.withColumn("_identity", F.coalesce(F.sha2(identity.cast("binary"), 256), F.lit("null")))
+    firsts = marked.groupBy("_identity").agg(F.min(F.struct(F.col(seq).alias("s"), F.col(key).alias("k"))).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    joined = marked.join(firsts.select("_identity", "_first"), "_identity").filter(F.col(seq) > F.col("_first.s"))
+    return joined.withColumn("first_of", F.col("_first.k")).drop("_identity", "_first")
 
 
 def listed_last(rows: DataFrame, last: Column, seq: str) -> DataFrame:
