@@ -73,3 +73,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def ascii_lower_sql(text: str = "text") -> Column:
     """The text with A-Z lowered and nothing else changed."""
     return F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it if a column of ``df`` is called so, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

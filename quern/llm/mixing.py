@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, written
+from quern.llm.common import WORD, free_name, written
 
 #: Hash ranges of each source.
 RANGES = 4096
@@ -113,12 +113,13 @@ def mixture(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
 
     Equal rows are told apart by number, so each keeps its own share.
     """
-    nth = Window.partitionBy("mix_row").orderBy(F.lit(1))
+    row, nth, share, to = (free_name(docs, n) for n in ("mix_row", "mix_nth", "mix_shares", "mix_copies"))
     shares = mixed(docs, text=text, key=key, source=source, most=most).filter("taken > 0")
-    shares = shares.groupBy(F.col("row_key").alias("mix_row")).agg(F.array_sort(F.collect_list(F.try_divide("taken", "size").cast("int"))).alias("mix_shares"))
-    rows = docs.withColumn("mix_row", F.xxhash64(F.col(key), F.col(source), F.col(text))).withColumn("mix_nth", F.row_number().over(nth))
-    joined = rows.join(shares, "mix_row").withColumn("mix_copies", F.get("mix_shares", F.col("mix_nth") - 1))
-    return joined.filter("mix_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "mix_copies")
+    shares = shares.groupBy(F.col("row_key").alias(row)).agg(F.array_sort(F.collect_list(F.try_divide("taken", "size").cast("int"))).alias(share))
+    order = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))
+    rows = docs.withColumn(row, F.xxhash64(F.col(key), F.col(source), F.col(text))).withColumn(nth, order)
+    joined = rows.join(shares, row).withColumn(to, F.get(share, F.col(nth) - 1))
+    return joined.filter(F.col(to) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], to)
 
 
 ORACLE_SQL = """
