@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import raw_texts, slices, written
+from quern.llm.common import free_name, raw_texts, slices, written
 
 NEAR, WORDS, ROUTE_ROWS, LEVELS = 4, 4, 50_000, 3
 LEAF = 16
@@ -224,27 +224,33 @@ def fingerprinted(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     return frame.mapInArrow(run, f"doc_id {kind}, row_key long, fp long")
 
 
+def _named(rows: DataFrame, near: int, route_rows: int) -> DataFrame:
+    """fp, component_id, root for each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(links(distinct, near=near, route_rows=route_rows))
+    member = distinct.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = distinct.join(roots, F.col("fp") == F.col("v")).groupBy("root").agg(F.min("least").alias("linked"))
+    return member.join(linked, "root", "left").select("fp", F.least("least", "linked").alias("component_id"), "root")
+
+
 def clustered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = NEAR, route_rows: int = ROUTE_ROWS) -> DataFrame:
-    """doc_id, row_key, fp, component_id for each row; component_id is the smallest id reachable.
+    """doc_id, row_key, fp, component_id, root for each row; component_id is the smallest id reachable.
 
     Nulls: a null text is an empty one (fingerprint zero), a null id never is a
     component's id unless the component has no other. Repeated rows stay. Empty: no rows.
     """
     rows = written(fingerprinted(docs, key=key, text=text), "simhash-rows")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct, near=near, route_rows=route_rows))
-    member = distinct.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = distinct.join(roots, F.col("fp") == F.col("v")).groupBy("root").agg(F.min("least").alias("linked"))
-    named = member.join(linked, "root", "left").select("fp", F.least("least", "linked").alias("component_id"), "root")
-    return rows.join(named, "fp")
+    return rows.join(_named(rows, near, route_rows), "fp")
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = NEAR) -> DataFrame:
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = NEAR, route_rows: int = ROUTE_ROWS) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest id; all columns stay.
 
-    Texts are shuffled once, by row, so that a large group of copies is spread out.
+    Copies are aggregated by fingerprint before components meet them. Texts are shuffled
+    once, by row, so that a large group of copies is spread out.
     """
-    found = clustered(docs, key=key, text=text, near=near)
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("m")).select(F.col("m.row_key").alias("near_row"))
-    rows = docs.withColumn("near_row", F.xxhash64(F.col(key), F.col(text)))
-    return rows.join(keep, "near_row", "left_semi").dropDuplicates(["near_row"]).drop("near_row")
+    rows = written(fingerprinted(docs, key=key, text=text), "simhash-rows")
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("m"))
+    keep = first.join(_named(rows, near, route_rows), "fp").groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.row_key").alias(at := free_name(docs, "near_row")))
+    taken = docs.withColumn(at, F.xxhash64(F.col(key), F.col(text))).join(keep, at, "left_semi")
+    return taken.dropDuplicates([at]).drop(at)

@@ -125,8 +125,8 @@ def test_near_duplicates_odd_rows(spark):
     kept = simhash.deduplicated(docs(spark, ODD)).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "4", "None"] and len(kept[0]) == 5
     assert simhash.clustered(docs(spark, [])).count() == 0 and simhash.deduplicated(docs(spark, [])).count() == 0
-    clash = docs(spark, ODD).withColumnRenamed("lang", "fp").withColumnRenamed("source", "root")
-    assert simhash.deduplicated(clash).columns == ["doc_id", "text", "fp", "root", "n_chars"]
+    clash = docs(spark, ODD).withColumnRenamed("lang", "near_row").withColumnRenamed("source", "root")
+    assert simhash.deduplicated(clash).columns == ["doc_id", "text", "near_row", "root", "n_chars"]
 
 
 # --- language-model scores ----------------------------------------------------------------------
@@ -245,9 +245,9 @@ def test_mixing(spark, seed):
 
 def test_mixture_keeps_rows_and_columns(spark):
     rows = corpus(5, 120) + ODD
-    df = docs(spark, rows).withColumnRenamed("lang", "size").withColumnRenamed("n_chars", "target")
+    df = docs(spark, rows).withColumnRenamed("lang", "size").withColumnRenamed("n_chars", "mix_row")
     out = mixing.mixture(df)
-    assert out.columns == ["doc_id", "text", "size", "source", "target", "mix_copies"]
+    assert out.columns == ["doc_id", "text", "size", "source", "mix_row", "mix_copies"]
     taken = sum(r.taken for r in mixing.mixed(df).collect())
     assert sum(len(r.text.split()) * r.mix_copies for r in out.collect()) == taken
     assert mixing.mixture(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [(1, None, None, None, None)])).first().taken == 0
