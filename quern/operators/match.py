@@ -180,6 +180,11 @@ def years_down(rows: DataFrame, group: str, year: str) -> DataFrame:
     return rows.groupBy(group).agg(F.sort_array(F.collect_set(year), False).alias("years"))
 
 
+def nested_counts(topics: DataFrame, group: str, array: str) -> DataFrame:
+    """A1: rows and members of their arrays, for each group."""
+    return topics.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size(array), F.lit(0))).alias("members"))
+
+
 def number_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """A10: keys with where they are: both, left or right."""
     j = left.select(key, F.lit(1).alias("_l")).distinct().join(right.select(key, F.lit(1).alias("_r")).distinct(), key, "full_outer")

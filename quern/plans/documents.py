@@ -99,6 +99,11 @@ def fill_rates(spark, sf_dir):
     return match.fill_rates(match.fill_missing(_docs(spark, sf_dir).withColumn("quality", F.lit(None).cast("int")), labels, ["doc_id"], "quality"), "source", "quality")
 
 
+def word_totals(spark, sf_dir):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    return match.nested_counts(_docs(spark, sf_dir).select("source", words.alias("words")), "source", "words")
+
+
 def overrides(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return match.overridden(_docs(spark, sf_dir).select("doc_id", F.lit(-1).alias("quality")), labels, "doc_id", "quality")
@@ -117,7 +122,7 @@ def aligned_readings(spark, sf_dir):
 
 _FUNCTIONS = (
     furniture_lines, strip_furniture, exact_dup_stems, first_wins_dedupe, norm_alnum, ocr_keys, english_share, latin_share, best_copies, term_counts, html_escaped,
-    line_modes, idf_topk, change_detect, insert_only_merge, rejection_reasons, fill_rates, overrides, byte_sizes, aligned_readings,
+    line_modes, idf_topk, change_detect, insert_only_merge, rejection_reasons, fill_rates, word_totals, overrides, byte_sizes, aligned_readings,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -162,6 +167,7 @@ ORACLE_SQL = {
     "rejection_reasons": r"""SELECT CASE WHEN len(regexp_extract_all(text, '\S+')) < 20 THEN 'too short' WHEN contains(text, '***') THEN 'junk' WHEN lang <> 'en' THEN 'not English' ELSE 'accepted' END AS reason,
         count(*) AS n FROM documents GROUP BY ALL""",
     "fill_rates": "SELECT source, count(quality) AS got, count(*) AS total FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+    "word_totals": r"SELECT source, count(*) AS n, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS members FROM documents GROUP BY source",
     "overrides": "SELECT doc_id, coalesce(quality, -1)::INT AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     "byte_sizes": """SELECT doc_id, CASE WHEN b < 1024 THEN printf('%d B', b) WHEN b / 1024.0 < 1024 THEN printf('%.0f KB', round(b::DOUBLE / 1024)) ELSE printf('%.1f MB', b::DOUBLE / 1024 / 1024) END AS size
         FROM (SELECT doc_id, n_chars * 100 AS b FROM documents)""",

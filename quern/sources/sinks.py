@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names (one of our own only where it is unset), deleted when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def to_json_text(*columns: str) -> Column:
     """A row as minified JSON, non-ASCII characters kept."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

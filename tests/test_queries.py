@@ -71,3 +71,10 @@ def test_ladder_queries_by_brute_force(spark):
         if d and not done and d <= dt.date(2024, 2, 10):
             want[u] = want.get(u, 0) + 1
     assert due == want
+
+
+def test_stream_ladder_equals_the_batch(spark):
+    from quern.plans import events, streams
+
+    rows = lambda df: sorted(tuple(r) for r in df.select("user_id", "item", "step", "done").collect())
+    assert rows(streams.stream_ladder(spark, DATA)) == rows(events.mistake_ladder(spark, DATA))
