@@ -6,14 +6,14 @@ untouched only where its docstring says so, and names its inputs by parameter.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.sinks import shared_folder
+
 #: A word of most contracts: a run of bytes outside these, which ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,29 +28,11 @@ def crc_mod(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that later reads survive lost executors.
-
-    The folder is deleted when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{_shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder, so that later reads survive lost executors."""
+    path = shared_folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
