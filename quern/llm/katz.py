@@ -256,7 +256,7 @@ def _to_first(v: np.ndarray, left: np.ndarray, mass: np.ndarray, asks: list, par
     return rows
 
 
-def fixes(firsts: list[bytes], asks: list[bytes]) -> list[tuple]:
+def fixes(firsts: list[bytes], asks: list[bytes], parts: int) -> list[tuple]:
     """log10 of alpha over the share that a seen bigram's context has, summed by document, for the requests of one partition."""
     v, left, mass = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0)]
     for blob in firsts:
@@ -275,15 +275,16 @@ def fixes(firsts: list[bytes], asks: list[bytes]) -> list[tuple]:
     got = np.bincount(of, np.concatenate(got), len(where))
     chunk = where >> 16
     edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
-    return [(int(chunk[a]), int(chunk[a]), FIX, pack((where[a:b] & 0xFFFF).astype(np.uint16), got[a:b])) for a, b in zip(edge[:-1], edge[1:])]
+    return [(int(chunk[a]) % parts, int(chunk[a]), FIX, pack((where[a:b] & 0xFFFF).astype(np.uint16), got[a:b])) for a, b in zip(edge[:-1], edge[1:])]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(dest, rows of (chunk, kind, blob, further columns)) from rows sorted by dest."""
+def _grouped(batches: Iterator[pa.RecordBatch], by: str = "dest") -> Iterator[tuple[int, list[tuple]]]:
+    """(dest or chunk, rows of (chunk, kind, blob, further columns)) from rows sorted by it."""
     now, held = None, []
     for b in batches:
         more = [b.column(k).to_pylist() for k in range(4, b.num_columns)]
         for i, (dest, chunk, kind, blob) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
+            dest = chunk if by == "chunk" else dest
             if dest != now:
                 if held:
                     yield now, held
@@ -352,7 +353,7 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out
         if sizes:
             yield from done()
 
-    sent = frame.mapInArrow(send, _ROW).repartition(parts, "dest")
+    sent = frame.mapInArrow(send, _ROW).repartitionById(parts, F.col("dest").cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, int] = defaultdict(int)
@@ -382,17 +383,17 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            yield from _in_parts([(c, c, kind, blob) for c, kind, blob in rows if kind in (DOCS, SUMS)])
+            yield from _in_parts([(c % parts, c, kind, blob) for c, kind, blob in rows if kind in (DOCS, SUMS)])
             asks = [blob for _, kind, blob in rows if kind == FIX]
             if asks:
-                yield from _in_parts(fixes([blob for _, kind, blob in rows if kind == FIRST], asks))
+                yield from _in_parts(fixes([blob for _, kind, blob in rows if kind == FIRST], asks, parts))
 
-    met = solved.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(meet, _ROW)
+    met = solved.repartitionById(parts, F.col("dest").cast("int")).sortWithinPartitions("dest").mapInArrow(meet, _ROW)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches):
+        for _, rows in _grouped(batches, by="chunk"):
             held, sizes, ids = next(unpack(blob, np.uint8, np.int64, np.uint8) for _, k, blob in rows if k == DOCS)
             base, score, known, tokens, n = np.zeros(len(held)), np.zeros(len(held)), np.zeros(len(held), np.int64), 0, 0
             for _, k, blob in rows:
@@ -409,4 +410,4 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out
             keys = pa.ipc.open_stream(ids.tobytes()).read_all().column(0).combine_chunks()
             yield pa.RecordBatch.from_arrays([keys, pa.array(held.astype(bool)), pa.array(sizes), pa.array(np.where(held, known, sizes)), pa.array(np.full(len(held), tokens)), pa.array(base), pa.array(score)], names=names)
 
-    return met.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(gather, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met.repartitionById(parts, F.col("dest").cast("int")).sortWithinPartitions("chunk").mapInArrow(gather, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
