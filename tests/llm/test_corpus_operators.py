@@ -328,6 +328,40 @@ def test_pipeline_stages(spark, tmp_path):
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         ids.append({r.doc_id for r in now.collect()})
     clean = {r[0] for r in good}
+# --- near texts ----------------------------------------------------------------------------------
+
+
+def brute_near(texts, similar=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similar * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r == max(x, y) else r for r in root]
+    return root
+
+
+def test_near_texts_equal_brute_force(spark):
+    rows = corpus(21, 250, longest=150)
+    roots = brute_near([r[1] for r in rows])
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
+    assert got == set(roots) and len(got) < len(rows)
+    apart = [simhash.fingerprints([r[1].encode()])[0] for r in rows]
+    assert any(k != r and np.bitwise_count(apart[k] ^ apart[r]) > 4 for k, r in enumerate(roots))
+
+
+def test_near_texts_odd_rows(spark):
+    stage = lambda df: corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted(str(r.doc_id) for r in stage(docs(spark, ODD)).collect()) == ["1", "2", "4", "None"]
+    assert stage(docs(spark, [])).count() == 0
+    clash = docs(spark, ODD).withColumnRenamed("lang", "near_row").withColumnRenamed("source", "root")
+    assert stage(clash).columns == ["doc_id", "text", "near_row", "root", "n_chars"]
+
+
     assert ids[0] == clean | {200, 201, 202} and ids[1] == ids[0] - {200} and ids[2] == ids[1] - {201} and ids[3] == ids[2]
     assert "[EMAIL]" in now.filter("doc_id = 202").first().text
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
