@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import raw_texts, slices
 
 #: What is measured, in order.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct_words", "n_digits")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct_words", "n_digits", "n_fewest_distinct")
+
+#: Words of a block of ``n_fewest_distinct``, the fewest distinct words in any: shares of distinct words compare only over like lengths.
+BLOCK = 4999
 
 #: Rules by bit: name, and the failing condition over the measures (integers only, so that engines agree).
 RULES = (
@@ -29,7 +32,7 @@ RULES = (
     ("long_words", "word_chars > 15 * n_words"),
     ("upper_case", "10 * n_upper > 4 * n_letters"),
     ("marks", "10 * n_marks > 3 * n_words"),
-    ("few_distinct_words", "n_words >= 50 AND 100 * n_distinct_words < 8 * n_words AND n_words < 5000"),
+    ("few_distinct_words", f"n_words >= 50 AND 100 * n_fewest_distinct < 8 * least(n_words, {BLOCK})"),
     ("digits", "10 * n_digits > 5 * word_chars"),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
@@ -69,6 +72,8 @@ def measure(raws: list[bytes]) -> np.ndarray:
         ids += mine
         lines = [x for x in raw.split(b"\n") if not x.isspace() and x]
         out[i, 3], out[i, 5], out[i, 9] = len(lines) - len(set(lines)), len(lines), len(set(mine))
+        # blocks lie end to end, the last one ends with the text
+        out[i, 11] = min(len(set(mine[at : at + BLOCK])) for at in {*range(0, len(mine) - BLOCK, BLOCK), max(0, len(mine) - BLOCK)})
     got = hist @ _classes()
     out[:, 0], out[:, 1], out[:, 2], out[:, 6], out[:, 7], out[:, 8], out[:, 10] = sizes, *(got[:, k] for k in range(6))
     if len(ids) > _WINDOW:
@@ -134,6 +139,8 @@ def judged(docs: DataFrame, *, policy: str = "v2") -> DataFrame:
     return rows.select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (~failed & F.col("verdict")).alias("kept"), "failures")
 
 
+#: The SQL states this rule for texts of under 5,000 words only, where both agree.
+_STATED = {"few_distinct_words": "n_words >= 50 AND 100 * n_distinct_words < 8 * n_words AND n_words < 5000"}
 _DUCK = {
     "n_upper": "[A-Z]", "n_letters": "[A-Za-z]", "n_marks": "[!?]", "n_digits": "[0-9]", "n_symbols": "[#*$%&|<>]",
 }
@@ -150,7 +157,7 @@ m AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, '')
         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_distinct(w))::BIGINT AS n_distinct_words
       FROM d LEFT JOIN l USING (r) LEFT JOIN p USING (r)),
-f AS (SELECT *, ({" | ".join(f"CASE WHEN {rule} THEN {BIT[name]}::BIGINT ELSE 0::BIGINT END" for name, rule in RULES)}) AS failures FROM m)
+f AS (SELECT *, ({" | ".join(f"CASE WHEN {_STATED.get(name, rule)} THEN {BIT[name]}::BIGINT ELSE 0::BIGINT END" for name, rule in RULES)}) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {mask("v1")}) <> 0 AS base_failed,
   (failures & {mask("v1")}) = 0 AND (failures & {mask("v2")}) = 0 AS kept, failures FROM f
 """

@@ -115,6 +115,19 @@ def test_rules_equal_brute_force(spark):
     assert rule_ledger.judged(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_few_distinct_words_at_every_length(spark):
+    rnd = random.Random(5)
+    junk = lambda n, v: " ".join(f"word{rnd.randrange(v)}" for _ in range(n))
+    clean = lambda n, v=0: " ".join(f"word{k}" for k in range(n))
+    made = [(junk, n, v) for n in (60, 4_999, 5_000, 5_001, 20_000) for v in (3, 50, 300) if n > 60 or v == 3] + [(clean, n, 0) for n in (60, 4_999, 5_000, 20_000)]
+    # a vocabulary that grows slower than the text is no fault, a block of junk in a long text is
+    made += [(lambda n, v: " ".join(f"word{rnd.randrange(v)}" for _ in range(n)), 60_000, 3_000), (lambda n, v: f"{clean(9_000)} {junk(12_000, v)} {clean(9_000)}", 30_000, 50)]
+    rows = rule_ledger.judged(docs(spark, [(k, f(n, v), None, None, None) for k, (f, n, v) in enumerate(made)])).collect()
+    got = {r.doc_id: bool(r.failures & rule_ledger.BIT["few_distinct_words"]) for r in rows}
+    assert got == {k: 0 < v < 1_000 for k, (_, _, v) in enumerate(made)}
+    assert not any(r.kept for r in rows if got[r.doc_id])
+
+
 def test_ablation_and_versions(spark):
     led = spark.createDataFrame([(0,), (1,), (1 | 4,), (4,), (2 | 8,)], "failures long")
     got = {(r.policy, r.rule): (r.n_failed, r.n_only, r.n_rejected) for r in rule_ledger.ablation(led).collect()}
