@@ -105,14 +105,15 @@ def rendered(spark, sf_dir):
 
 def key_blocks(spark, sf_dir):
     flags = _read(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("at"), "l_returnflag")
-    keys = flags.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "l_returnflag"))), lambda s: s["l_returnflag"]), "").alias("s")).filter(F.length("s") >= 40)
-    a = F.substring("s", 1, 40)
-    b = F.array_join(F.reverse(sequences.blocks(a, 10)), "")
-    b = F.when(F.col("l_suppkey") % 2 == 1, F.overlay(b, F.lit("X"), F.lit(7))).otherwise(b)
-    found = keys.select("l_suppkey", a.alias("a"), b.alias("b"))
+    keys = flags.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "l_returnflag"))), lambda s: s["l_returnflag"]), "").alias("a"))
+    # the largest block that divides the whole sequence; a sequence that has none is one block
+    keys = keys.withColumn("size", F.coalesce(F.array_max(sequences.block_sizes(F.length("a"))), F.length("a")))
+    b = F.array_join(F.reverse(sequences.blocks(F.col("a"), F.col("size"))), "")
+    b = F.when(F.col("l_suppkey") % 2 == 1, F.overlay(b, F.lit("X"), F.least(F.length("a"), F.lit(7)))).otherwise(b)
+    found = keys.select("l_suppkey", "a", "size", b.alias("b"))
     return found.select(
-        "l_suppkey", sequences.largest_block(F.col("a"), [F.col("b")]).alias("block"), sequences.blocks_agree(F.col("a"), F.col("b"), 10).alias("ok"),
-        F.array_join(F.transform(sequences.permutation(F.col("a"), F.col("b"), 10), lambda x: x.cast("string")), ",").alias("perm"), sequences.repeated_blocks(F.col("a"), 5).alias("repeats"),
+        "l_suppkey", sequences.largest_block(F.col("a"), [F.col("b")]).alias("block"), sequences.blocks_agree(F.col("a"), F.col("b"), F.col("size")).alias("ok"),
+        F.array_join(F.transform(sequences.permutation(F.col("a"), F.col("b"), F.col("size")), lambda x: x.cast("string")), ",").alias("perm"), sequences.repeated_blocks(F.col("a"), 5).alias("repeats"),
     )
 
 
