@@ -40,7 +40,7 @@ def goal_streak(spark, sf_dir):
 
 def spaced_due(spark, sf_dir):
     e = _events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(F.col("event_type") == "signup", F.col("ts")))).alias("revised"), F.collect_set(F.hour("ts")).alias("ticked"))
-    return e.select("user_id", progress.due_in(F.col("ticked"), F.lit(20), F.slice("revised", 1, 4), F.to_date(F.lit(TODAY))).alias("due_in"))
+    return e.select("user_id", progress.due_in(F.col("ticked"), F.lit(20), F.col("revised"), F.to_date(F.lit(TODAY))).alias("due_in"))
 
 
 def mistake_ladder(spark, sf_dir):

@@ -80,6 +80,22 @@ def test_stream_ladder_equals_the_batch(spark):
     assert rows(streams.stream_ladder(spark, DATA)) == rows(events.mistake_ladder(spark, DATA))
 
 
+def test_due_dates_count_every_revision(spark):
+    from quern.operators.progress import REVISION_DAYS
+    from quern.plans import events
+
+    rows, want = {}, {}
+    for e in spark.read.parquet(f"{DATA}/events.parquet").collect():
+        rows.setdefault(e.user_id, []).append(e)
+    for user, mine in rows.items():
+        revised = {e.ts for e in mine if e.event_type == "signup"}
+        if len({e.ts.hour for e in mine}) < 20:
+            want[user] = None
+        else:
+            want[user] = (max(revised).date() + dt.timedelta(days=REVISION_DAYS[min(len(revised), 5) - 1]) - dt.date(2024, 1, 31)).days if revised else 0
+    assert {r.user_id: r.due_in for r in events.spaced_due(spark, DATA).collect()} == want
+
+
 def brute_key(supplier, a):
     n = len(a)
     cut = lambda v, k: [v[i : i + k] for i in range(0, n - n % k, k)]
