@@ -6,8 +6,9 @@ holds for all items. Retrieval is block-max WAND, with the pivot test done for a
 passages of a batch at once: postings whose impacts together stay under half the
 threshold are left to a constant bound, the rest are summed by (passage, block of
 items); only blocks whose bound reaches the threshold are scored exactly. What is
-retrieved is then verified by the share of the item's five-word shingles, of its
-question and of its answer, that stand in the passage.
+retrieved is then verified by the share of the item's five-word shingles that stand in
+the passage: enough of the whole item, or of both its question and its answer, which
+other words may keep apart.
 
 The items are a stated query set. They are taken in shards of at most
 ``SHARD_WORDS`` words, so what is sent to executors is bounded; each shard reads the
@@ -30,6 +31,8 @@ from quern.llm.common import slices, texts
 
 SHARD_WORDS = 2_000_000
 THRESHOLD, OVERLAP, SHINGLE, BLOCK = 0.6, 0.8, 5, 8
+#: Words that may stand between question and answer of the longest item so that one passage still holds both.
+GAP = 16
 K1, B = 1.2, 0.75
 
 #: Every byte that is not a letter, digit or part of a non-ASCII character becomes a blank.
@@ -102,7 +105,7 @@ def build(items: list[tuple], threshold: float = THRESHOLD) -> Index:
             block.append(b), top.append(v)
         start.append(len(block))
     parts = [(shingles(ws), *(shingles(split_words(x)) for x in question_answer(t))) for _, t, ws in split]
-    width = 2 * max((len(ws) for _, _, ws in split), default=1)
+    width = 2 * (max((len(ws) for _, _, ws in split), default=1) + GAP)
     return Index([i for i, _, _ in split], parts, impacts, terms, np.array(start), np.array(block, int), np.array(top, float), rest, width, threshold)
 
 
@@ -146,7 +149,8 @@ def matches(index: Index, docs: list[list[bytes]], overlap: float = OVERLAP) ->
                 continue
             have = shingles(words) if have is None else have
             whole, q, a = (share(p, have, words) for p in index.parts[k])
-            if whole >= overlap and (d, k) not in best or (d, k) in best and best[d, k][1] < whole:
+            apart = all(index.parts[k][1:]) and min(q, a) >= overlap
+            if (whole >= overlap or apart) and ((d, k) not in best or best[d, k][1] < whole):
                 best[d, k] = (got, whole, q, a, at)
     return [(d, index.ids[k], *v) for (d, k), v in sorted(best.items())]
 

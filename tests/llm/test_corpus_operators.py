@@ -292,6 +292,25 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0 and decontam.cleaned(docs(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_leaks_with_words_between_question_and_answer(spark):
+    rnd = random.Random(12)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    parts = [(say(9) + "?", say(3).capitalize() + "."), (say(8) + "?", say(9).capitalize() + "."), (say(30) + "?", say(10).capitalize() + ".")]
+    items = [*((k, f"{q} {a}") for k, (q, a) in enumerate(parts)), (9, say(10))]
+    rows = []
+    for k in range(60):
+        q, a = parts[k % 3]
+        between = ("Answer:", say(4), say(decontam.GAP))[k // 3 % 3]
+        rows.append((k, f"{say(k * 7)} {q} {between} {a} {say(30)}", "en", "s", 1))
+    rows += [(100 + k, f"{say(20)} {q} {say(20)}", "en", "s", 1) for k, (q, _) in enumerate(parts)]
+    rows += [(110 + k, f"{say(20)} {a} {say(20)}", "en", "s", 1) for k, (_, a) in enumerate(parts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contaminated(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k % 3) for k in range(60)} | brute_leaks(rows[60:], items)
+    assert any(r.overlap < 0.8 and r.question_overlap == r.answer_overlap == 1 for r in got)
+    assert not {r.doc_id for r in decontam.cleaned(docs(spark, rows), bench).collect()} & set(range(60))
+
+
 def test_block_bounds_lose_nothing():
     """Every passage whose exact score reaches the threshold is among the candidates."""
     rnd = random.Random(3)
@@ -309,25 +328,6 @@ def test_block_bounds_lose_nothing():
                     assert (d, at, k // decontam.BLOCK) in found
 
 
-# --- pipeline ----------------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark, tmp_path):
-    rnd = random.Random(6)
-    say = lambda n: " ".join(rnd.choice(("alpha", "beta", "gamma", "delta", "eps", "zeta")) + str(rnd.randint(0, 50)) for _ in range(n))
-    good = [(k, say(60), "en", f"s{k % 3}", 1) for k in range(60)]
-    junk = [(100 + k, "!! ### ".join(say(40).split()), "en", "s0", 1) for k in range(40)]
-    item = "what is the leaked question of this test. It is the answer here."
-    rows = [*good, *junk, (200, good[0][1], "en", "s1", 1), (201, f"{say(30)} {item} {say(30)}", "en", "s1", 1), (202, f"{say(40)} mail me@example.com now", "en", "s2", 1)]
-    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(r[0], int(r[0] < 100), 0) for r in good + junk], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    now, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, str(tmp_path))
-        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        ids.append({r.doc_id for r in now.collect()})
-    clean = {r[0] for r in good}
 # --- near texts ----------------------------------------------------------------------------------
 
 
@@ -362,6 +362,25 @@ def test_near_texts_odd_rows(spark):
     assert stage(clash).columns == ["doc_id", "text", "near_row", "root", "n_chars"]
 
 
+# --- pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    rnd = random.Random(6)
+    say = lambda n: " ".join(rnd.choice(("alpha", "beta", "gamma", "delta", "eps", "zeta")) + str(rnd.randint(0, 50)) for _ in range(n))
+    good = [(k, say(60), "en", f"s{k % 3}", 1) for k in range(60)]
+    junk = [(100 + k, "!! ### ".join(say(40).split()), "en", "s0", 1) for k in range(40)]
+    item = "what is the leaked question of this test. It is the answer here."
+    rows = [*good, *junk, (200, good[0][1], "en", "s1", 1), (201, f"{say(30)} {item} {say(30)}", "en", "s1", 1), (202, f"{say(40)} mail me@example.com now", "en", "s2", 1)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] < 100), 0) for r in good + junk], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        ids.append({r.doc_id for r in now.collect()})
+    clean = {r[0] for r in good}
     assert ids[0] == clean | {200, 201, 202} and ids[1] == ids[0] - {200} and ids[2] == ids[1] - {201} and ids[3] == ids[2]
     assert "[EMAIL]" in now.filter("doc_id = 202").first().text
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
