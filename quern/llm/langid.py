@@ -5,8 +5,9 @@ back to its character n-grams, from four characters down to one: the longest ord
 of which a gram is known decides.
 
 The model is learnt from a sample of at most ``PER_LANG`` labelled rows of each language
-(those of the smallest hashes) and keeps at most ``MAX_WORDS`` words; these bounds make it small
-enough to send to the executors. Scoring is one pass without a shuffle.
+(those of the smallest hashes) and keeps at most ``WORDS_PER_LANG`` words of each, the most frequent;
+no language takes room from another. These bounds make it small enough to send to the executors.
+Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import crc_mod, slices, texts
 
-PER_LANG, MAX_LANGS, MAX_WORDS, ORDERS = 800, 200, 200_000, (4, 3, 2, 1)
+PER_LANG, WORDS_PER_LANG, ORDERS = 800, 200_000, (4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 300_000
 
@@ -63,14 +64,17 @@ def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {w: np.log((c + 0.5) / (total + 0.5 * len(counts))).astype(np.float32) for w, c in counts.items()}
 
 
-def train(docs: DataFrame, *, learn_from: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG) -> Model:
-    """Learn from rows whose text, language and key aren't null and that meet ``learn_from``. No rows: no languages."""
+def train(docs: DataFrame, *, learn_from: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> Model:
+    """Learn from rows whose text, language and key aren't null and that meet ``learn_from``. No rows: no languages.
+
+    ``per_lang`` bounds the rows and ``words_per_lang`` the words learnt of each language; the number of languages isn't bounded.
+    """
     good = F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()
     rows = docs.filter(good if learn_from is None else good & learn_from)
     order = F.xxhash64(F.col("k"), F.lit(5))
     narrow = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"))
     place = F.row_number().over(Window.partitionBy("l").orderBy(order, "k"))
-    few = narrow.withColumn("place", place).filter(F.col("place") <= per_lang).select("k").distinct().limit(per_lang * MAX_LANGS)
+    few = narrow.withColumn("place", place).filter(F.col("place") <= per_lang).select("k").distinct()
     sample = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(few), "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +87,8 @@ def train(docs: DataFrame, *, learn_from: Column | None = None, text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat[at : at + 50_000])], names=["l", "w", "c"])
 
     counted = sample.select("l", "t").mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.col("c").desc(), "l", "w").limit(MAX_WORDS).toArrow()
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.col("c").desc(), "w"))
+    top = counted.withColumn("place", place).filter(F.col("place") <= words_per_lang).orderBy(F.col("c").desc(), "l", "w").toArrow()
     by: dict[str, Counter] = defaultdict(Counter)
     for name, w, c in zip(*(top.column(x).to_pylist() for x in ("l", "w", "c"))):
         by[name][w] = c

@@ -149,6 +149,15 @@ def test_language_words_then_grams(spark):
     assert langid.identified(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_every_language_keeps_words_of_its_own(spark):
+    hot = " ".join(f"hot{chr(97 + k)}" for k in range(20))
+    rows = [(k, hot, "aa", None, None) for k in range(30)] + [(100, "rare small words", "zz", None, None)]
+    model = langid.train(docs(spark, rows), words_per_lang=5)
+    assert model.langs == ["aa", "zz"] and len(model.words) == 5 + 3
+    many = [(k, f"word{k}", f"l{k}", None, None) for k in range(210)]
+    assert len(langid.train(docs(spark, many), per_lang=1).langs) == 210
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
