@@ -139,8 +139,6 @@ def judged(docs: DataFrame, *, policy: str = "v2") -> DataFrame:
     return rows.select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (~failed & F.col("verdict")).alias("kept"), "failures")
 
 
-#: The SQL states this rule for texts of under 5,000 words only, where both agree.
-_STATED = {"few_distinct_words": "n_words >= 50 AND 100 * n_distinct_words < 8 * n_words AND n_words < 5000"}
 _DUCK = {
     "n_upper": "[A-Z]", "n_letters": "[A-Za-z]", "n_marks": "[!?]", "n_digits": "[0-9]", "n_symbols": "[#*$%&|<>]",
 }
@@ -155,9 +153,10 @@ p AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM h, range(8)
 m AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         {", ".join(f"len(regexp_extract_all(t, '{p}'))::BIGINT AS {n}" for n, p in _DUCK.items())},
         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines,
-        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_distinct(w))::BIGINT AS n_distinct_words
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        list_min(list_transform(list_concat(range(0, greatest(len(w) - {BLOCK}, 0), {BLOCK}), [greatest(len(w) - {BLOCK}, 0)]), lambda s: len(list_distinct(w[s + 1:s + {BLOCK}]))))::BIGINT AS n_fewest_distinct
       FROM d LEFT JOIN l USING (r) LEFT JOIN p USING (r)),
-f AS (SELECT *, ({" | ".join(f"CASE WHEN {_STATED.get(name, rule)} THEN {BIT[name]}::BIGINT ELSE 0::BIGINT END" for name, rule in RULES)}) AS failures FROM m)
+f AS (SELECT *, ({" | ".join(f"CASE WHEN {rule} THEN {BIT[name]}::BIGINT ELSE 0::BIGINT END" for name, rule in RULES)}) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {mask("v1")}) <> 0 AS base_failed,
   (failures & {mask("v1")}) = 0 AND (failures & {mask("v2")}) = 0 AS kept, failures FROM f
 """
