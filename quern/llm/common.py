@@ -45,11 +45,28 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows, to bound what a worker holds."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and ``most`` bytes, one row at least, to bound what a worker holds."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            piece = todo.pop()
+            if piece.num_rows > 1 and piece.nbytes > most:
+                half = piece.num_rows // 2
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
+def row_identity(*columns: str) -> Column:
+    """16 bytes that tell rows apart by these columns: an MD5 of their texts, each marked as null or not and by its length."""
+    parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in columns]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns of ``df`` that a hash takes: no maps."""
+    return [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
 
 
 def ascii_lower_sql(text: str = "text") -> Column:

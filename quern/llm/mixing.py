@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, free_name, written
+from quern.llm.common import WORD, free_name, hashable, row_identity, written
 
 #: Hash ranges of each source.
 RANGES = 4096
@@ -73,9 +73,10 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
 
     Nulls: a null text has size 0, a null source is a source, a null key is shuffled
     as the empty text. Rows of size 0 are never taken. Repeated rows count each.
-    Empty table: no rows. The order is fixed by md5 of the key, then the size, so reruns agree.
+    Empty table: no rows. The order is fixed by md5 of the key, then the size, then the row's identity,
+    so only rows equal in key, source and text tie, and reruns agree.
     """
-    narrow = written(docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(source), F.col(text)).alias("row_key"), F.col(source).alias("source"), words(text).alias("size")), "mix-sizes")
+    narrow = written(docs.select(F.col(key).alias("doc_id"), row_identity(key, source, text).alias("row_key"), F.col(source).alias("source"), words(text).alias("size")), "mix-sizes")
     per_source = written(source_targets(narrow, most=most), "mix-sources")
     few = per_source.count() <= BROADCAST_SOURCES
     first = per_source.select("total").first()
@@ -84,7 +85,7 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
     d = d.withColumn("range", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
     sums = d.groupBy("src", "range").agg(F.sum("size").alias("sum"))
     ahead = sums.select("src", "range", (F.sum("sum").over(Window.partitionBy("src").orderBy("range")) - F.col("sum")).alias("ahead"))
-    inside = F.sum("size").over(Window.partitionBy("src", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("size").over(Window.partitionBy("src", "range").orderBy("order", "size", "row_key").rowsBetween(Window.unboundedPreceding, 0))
     d = written(d.join(ahead, ["src", "range"]).withColumn("cum", F.col("ahead") + inside).select("doc_id", "row_key", "size", "source_size", "target", "src", "cum"), "mix-order")
 
     finish = [F.try_divide((F.lit(e) * F.col("source_size") + F.col("cum")).cast("double"), F.col("target")) for e in range(most)]
@@ -111,13 +112,13 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
 def mixture(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", most: int = 3) -> DataFrame:
     """The rows of ``docs`` that the mix takes, all their columns, and ``mix_copies``: how often each is taken.
 
-    Equal rows are told apart by number, so each keeps its own share.
+    Rows equal in key, source and text are told apart by number, in the order of a hash of all their columns.
     """
     row, nth, share, to = (free_name(docs, n) for n in ("mix_row", "mix_nth", "mix_shares", "mix_copies"))
     shares = mixed(docs, text=text, key=key, source=source, most=most).filter("taken > 0")
     shares = shares.groupBy(F.col("row_key").alias(row)).agg(F.array_sort(F.collect_list(F.try_divide("taken", "size").cast("int"))).alias(share))
-    order = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))
-    rows = docs.withColumn(row, F.xxhash64(F.col(key), F.col(source), F.col(text))).withColumn(nth, order)
+    order = F.row_number().over(Window.partitionBy(row).orderBy(F.xxhash64(*hashable(docs))))
+    rows = docs.withColumn(row, row_identity(key, source, text)).withColumn(nth, order)
     joined = rows.join(shares, row).withColumn(to, F.get(share, F.col(nth) - 1))
     return joined.filter(F.col(to) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], to)
 
@@ -125,7 +126,8 @@ def mixture(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '')) AS k,
+         md5(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(source) || ':' || source, '-') || coalesce(length(text) || ':' || text, '-')) AS i FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS src FROM d GROUP BY source),
 w AS (SELECT *, (src - 1) % 3 + 1 AS weight FROM s),
 l AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, row_number() OVER o AS place,
@@ -135,7 +137,7 @@ l AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, row_number() OVER o A
 v AS (SELECT min_by(level, place) AS level FROM l WHERE 3 * source_size >= level * weight),
 t AS (SELECT source, src, source_size, total, least((3 * source_size)::DOUBLE, v.level * weight) AS target FROM l, v),
 c AS (SELECT doc_id, size, source_size, target, total, src,
-        (sum(size) OVER (PARTITION BY src ORDER BY k, size ROWS UNBOUNDED PRECEDING))::BIGINT AS cum
+        (sum(size) OVER (PARTITION BY src ORDER BY k, size, i ROWS UNBOUNDED PRECEDING))::BIGINT AS cum
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 r AS (SELECT *, row_number() OVER () AS id FROM c),
 x AS (SELECT *, (e * source_size + cum)::DOUBLE / target AS finish FROM r, (VALUES (0), (1), (2)) q(e) WHERE size > 0 AND target > 0),
