@@ -31,8 +31,9 @@ _RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*://|www\.)[^\s<>\"'`{}|\\^]+")
 _IBAN = re.compile(r"[\s:#.=-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})\b")
-_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#|id))?\s*[:#=]?\s*([0-9][0-9 -]{4,22}[0-9])(?![0-9])", re.I)
-_SECRET = re.compile(r"[A-Za-z0-9_-]{0,20}[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+=.]{16,})")
+#: Blanks are taken whole (possessive), so a run of them is read a bounded number of times.
+_ACCOUNT = re.compile(r"(?:\s*+(?:number|no\.?|nr\.?|#|id))?+\s*+[:#=]?+\s*+([0-9][0-9 -]{4,22}[0-9])(?![0-9])", re.I)
+_SECRET = re.compile(r"[A-Za-z0-9_-]{0,20}+[\"']?+\s*+[:=]\s*+[\"']?+([A-Za-z0-9_\-/+=.]{16,})")
 _SCHEMES = ("http://", "https://", "ftp://", "www.")
 _ACCOUNTS = ("account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
 _SECRETS = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key")
@@ -123,7 +124,7 @@ def spans(text: str, found_by) -> list[tuple[str, int, int]]:
                     stop = m.start() + len(m[0].rstrip(".,;:!?)]*#%&$"))
                     if "." in text[at:stop].split("://")[-1]:
                         out[kind].append((at, stop))
-                        done[kind] = stop
+                    done[kind] = m.end()  # what begins later in the run ends alike
             else:
                 rule = {"iban": _IBAN, "account": _ACCOUNT, "secret": _SECRET}[kind]
                 m = rule.match(text, end + 1)
