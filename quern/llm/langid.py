@@ -4,10 +4,11 @@ A known word is scored by its log frequency in each language. An unseen word fal
 back to its character n-grams, from four characters down to one: the longest order
 of which a gram is known decides.
 
-The model is learnt from a sample of at most ``PER_LANG`` labelled rows of each language
-(those of the smallest hashes) and keeps at most ``WORDS_PER_LANG`` words of each, the most frequent;
-no language takes room from another. These bounds make it small enough to send to the executors.
-Scoring is one pass without a shuffle.
+The only bound is on labelled rows: the model is learnt from at most ``PER_LANG`` of each
+language, those of the smallest hashes; every word and gram of theirs is kept, and the number of
+languages isn't bounded. A vector is kept as the languages that know the word, since
+log((c + 1/2) / (total + V/2)) is a language's constant plus log(2c + 1). Scoring is one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,33 +24,20 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import crc_mod, slices, texts
 
-PER_LANG, WORDS_PER_LANG, ORDERS = 800, 200_000, (4, 3, 2, 1)
+PER_LANG, ORDERS = 800, (4, 3, 2, 1)
+#: Languages up to which the table of their cuts is broadcast; beyond, it is joined by shuffle.
+BROADCAST_LANGS = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+#: Values that a worker's memo of word vectors holds at most.
+_MEMO = 4_000_000
 
 
-class Model:
-    """Languages, word and gram vectors (log frequency by language)."""
-
-    def __init__(self, counts: dict[str, Counter]):
-        self.langs = sorted(counts)
-        n = len(self.langs)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in ORDERS]
-        for k, lang in enumerate(self.langs):
-            for w, c in counts[lang].items():
-                words[w][k] += c
-                for g, order in zip(grams, ORDERS):
-                    for x in pieces(w, order):
-                        g[x][k] += min(c, 10)
-        self.words, self.grams = _logs(words), [_logs(g) for g in grams]
-
-    def unseen(self, word: str) -> np.ndarray:
-        for g, order in zip(self.grams, ORDERS):
-            known = [g[x] for x in pieces(word, order) if x in g]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters. Numerals that aren't digits, such as superscripts, are no letters."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    return [w if w.isalpha() else x for w in found if w.isalpha() or (x := "".join(c for c in w if c.isalpha()))]
 
 
 def pieces(word: str, order: int) -> list[str]:
@@ -57,41 +45,105 @@ def pieces(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
-def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    if not counts:
-        return {}
-    total = np.sum(list(counts.values()), axis=0)
-    return {w: np.log((c + 0.5) / (total + 0.5 * len(counts))).astype(np.float32) for w, c in counts.items()}
+class Table:
+    """Counts by language of words or grams: for each language a constant, for each item the languages that know it."""
 
+    def __init__(self, counts: list[Counter]):
+        items = {w: k for k, w in enumerate(sorted(set().union(*counts)))} if counts else {}
+        total = np.array([sum(c.values()) for c in counts], float)
+        self.constant = -np.log(2 * total + max(1, len(items))).astype(np.float32)
+        at = np.concatenate([np.fromiter(map(items.__getitem__, c), np.int64, len(c)) for c in counts] or [np.zeros(0, np.int64)])
+        lang = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])
+        gain = np.concatenate([np.log(2 * np.fromiter(c.values(), float, len(c)) + 1) for c in counts] or [np.zeros(0)]).astype(np.float32)
+        order = np.argsort(at, kind="stable")
+        self.items, self.lang, self.gain = items, lang[order], gain[order]
+        self.start = np.searchsorted(at[order], np.arange(len(items) + 1))
+
+    def add(self, known: list[int], to: np.ndarray) -> None:
+        """The mean vector of the items numbered ``known``, added to ``to``."""
+        to += self.constant
+        for k in known:
+            part = slice(self.start[k], self.start[k + 1])
+            to[self.lang[part]] += self.gain[part] / len(known)
 
-def train(docs: DataFrame, *, learn_from: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> Model:
-    """Learn from rows whose text, language and key aren't null and that meet ``learn_from``. No rows: no languages.
 
-    ``per_lang`` bounds the rows and ``words_per_lang`` the words learnt of each language; the number of languages isn't bounded.
+class Model:
+    """Languages, and the tables of words and of grams of each order."""
+
+    def __init__(self, counts: dict[str, Counter]):
+        self.langs = sorted(counts)
+        self.words = Table([counts[name] for name in self.langs])
+        grams = []
+        for order in ORDERS:
+            by = []
+            for name in self.langs:
+                of: dict[str, int] = defaultdict(int)
+                for w, c in counts[name].items():
+                    n = min(c, 10)
+                    for x in pieces(w, order):
+                        of[x] += n
+                by.append(Counter(of))
+            grams.append(Table(by))
+        self.grams = grams
+
+    def vector(self, word: str) -> np.ndarray:
+        """Log frequency of a word in each language, or the mean of its known grams."""
+        out = np.zeros(len(self.langs), np.float32)
+        at = self.words.items.get(word)
+        if at is not None:
+            self.words.add([at], out)
+            return out
+        for table, order in zip(self.grams, ORDERS):
+            known = [table.items[x] for x in pieces(word, order) if x in table.items]
+            if known:
+                table.add(known, out)
+                return out
+        return out
+
+
+def sampled(docs: DataFrame, *, learn_from: Column | None, text: str, lang: str, key: str, per_lang: int) -> DataFrame:
+    """(l, t): at most ``per_lang`` texts of each language, of the keys with the smallest hashes.
+
+    Counts by language give a hash below which about twice as many stand, so what is ranked of a
+    language doesn't grow with it; rows of one key, language and hash of the text count once.
     """
     good = F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()
-    rows = docs.filter(good if learn_from is None else good & learn_from)
-    order = F.xxhash64(F.col("k"), F.lit(5))
-    narrow = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    place = F.row_number().over(Window.partitionBy("l").orderBy(order, "k"))
-    few = narrow.withColumn("place", place).filter(F.col("place") <= per_lang).select("k").distinct()
-    sample = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(few), "k")
+    rows = docs.filter(good if learn_from is None else good & learn_from).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    # the place of a key: uniform in 0 to 1
+    place = F.shiftrightunsigned(F.xxhash64(F.col("k"), F.lit(5)), 11) / F.lit(float(1 << 53))
+    narrow = rows.select("k", "l", place.alias("u"))
+    share = F.lit(2.0 * per_lang + 64) / F.count("*")
+    counted = narrow.groupBy("l").agg(share.alias("share"))
+    near = narrow.join(counted, "l").filter(F.col("u") < F.col("share")).select("l", "u", "k").distinct()
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("u", "k"))
+    cuts = near.withColumn("n", nth).filter(F.col("n") <= per_lang).groupBy("l").agg(F.max(F.struct("u", "k")).alias("cut"))
+    few = counted.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    kept = rows.withColumn("u", place).join(F.broadcast(cuts) if few else cuts, "l").filter((F.col("u") < F.col("cut.u")) | ((F.col("u") == F.col("cut.u")) & (F.col("k") <= F.col("cut.k"))))
+    return kept.groupBy("l", "k").agg(F.min("t").alias("t")).select("l", "t")
+
+
+def train(docs: DataFrame, *, learn_from: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG) -> Model:
+    """Learn from rows whose text, language and key aren't null and that meet ``learn_from``. No rows: no languages.
+
+    ``per_lang`` bounds the rows of each language; neither their words nor the languages are bounded.
+    Of rows with one key and language the smallest text counts.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = defaultdict(Counter)
         for b in slices(batches, 500):
             for name, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                by[name].update(_WORD.findall(t.lower()))
-        flat = [(name, w, c) for name, counter in by.items() for w, c in counter.items()]
+                by[name].update(words_of(t))
+        flat = [(name, w, c) for name, counter in by.items() for w, c in (counter or {"": 0}).items()]
         for at in range(0, len(flat), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat[at : at + 50_000])], names=["l", "w", "c"])
 
-    counted = sample.select("l", "t").mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
-    place = F.row_number().over(Window.partitionBy("l").orderBy(F.col("c").desc(), "w"))
-    top = counted.withColumn("place", place).filter(F.col("place") <= words_per_lang).orderBy(F.col("c").desc(), "l", "w").toArrow()
+    sample = sampled(docs, learn_from=learn_from, text=text, lang=lang, key=key, per_lang=per_lang)
+    found = sample.mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c")).toArrow()
     by: dict[str, Counter] = defaultdict(Counter)
-    for name, w, c in zip(*(top.column(x).to_pylist() for x in ("l", "w", "c"))):
-        by[name][w] = c
+    for name, w, c in zip(*(found.column(x).to_pylist() for x in ("l", "w", "c"))):
+        if w:
+            by[name][w] = c
     return Model(by)
 
 
@@ -102,37 +154,46 @@ class _Memo(dict):
         super().__init__()
         self.model, self.table = model, np.zeros((1024, len(model.langs)), np.float32)
 
+    def full(self) -> bool:
+        return len(self) * max(4, len(self.model.langs)) > _MEMO
+
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k >= len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        known = self.model.words.get(word)
-        self.table[k] = self.model.unseen(word) if known is None else known
+        self.table[k] = self.model.vector(word)
         self[word] = k
         return k
 
 
 def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred and score for each row.
+    """key, lang_pred and score for each row; null keys and repeated rows stay, other columns go.
 
-    ``und`` and 0 where the text is null or has no letter, or nothing was learnt.
+    ``und`` and 0 where the text is null or has no letter, or nothing was learnt. Of languages that
+    score alike the first by name is taken. A text of any length is read whole.
     The score is the language's share after a softmax over the mean log frequency times the words, at most 30.
     """
     kind = docs.schema[key].dataType.simpleString()
 
+    def mean(words: list[str], memo: _Memo) -> np.ndarray:
+        z, step = np.zeros(len(model.langs)), 50_000
+        for at in range(0, len(words), step):
+            places = [memo[w] for w in words[at : at + step]]
+            z += memo.table[places].sum(0, dtype=np.float64)
+        return z / len(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model)
         for b in slices(batches, 500):
             names, scores = [], []
             for t in texts(b.column(1)):
-                words = _WORD.findall(t.lower())
+                words = words_of(t)
                 if not words or not model.langs:
                     names.append("und"), scores.append(0.0)
                     continue
-                if len(memo) > _MEMO:
+                if memo.full():
                     memo = _Memo(model)
-                at = [memo[w] for w in words]
-                z = memo.table[at].mean(0, dtype=np.float64) * min(len(words), 30)
+                z = mean(words, memo) * min(len(words), 30)
                 z = np.exp(z - z.max())
                 k = int(z.argmax())
                 names.append(model.langs[k]), scores.append(float(z[k] / z.sum()))
