@@ -256,16 +256,20 @@ def test_mixture_keeps_rows_and_columns(spark):
 # --- leaks ----------------------------------------------------------------------------------------
 
 
+def runs(words, n):
+    return {tuple(words[j : j + n]) for j in range(len(words) - n + 1)}
+
+
 def brute_leaks(rows, items):
+    """Question and answer each to 0.8 of their shingles somewhere in the text; an item of one sentence as a whole."""
     out = set()
     for k, t, *_ in rows:
-        have_words = decontam.split_words(t or "")
+        have = decontam.split_words(t or "")
         for i, item in items:
-            words = decontam.split_words(item)
-            part = decontam.shingles(words)
-            n = min(5, len(words))
-            have = {tuple(have_words[j : j + n]) for j in range(len(have_words) - n + 1)}
-            if part and len(part & have) >= 0.8 * len(part):
+            parts = [decontam.split_words(x) for x in decontam.question_answer(item)]
+            parts = parts if all(parts) else [decontam.split_words(item)]
+            shares = [len(runs(p, n) & runs(have, n)) / len(runs(p, n)) for p in parts if (n := min(5, len(p)))]
+            if shares and min(shares) >= 0.8:
                 out.add((k, i))
     return out
 
@@ -286,7 +290,7 @@ def test_leaks_equal_brute_force(spark):
     bench = spark.createDataFrame([*items, (99, None), (98, " ")], "item_id long, text string")
     got = decontam.contaminated(docs(spark, rows + ODD), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(rows, items) and len(got) >= 66
-    assert all(r.score >= 0.6 and r.overlap >= 0.8 and 0 <= r.question_overlap <= 1 for r in got)
+    assert all(r.score >= 0.6 and min(r.question_overlap, r.answer_overlap) >= 0.8 for r in got)
     kept = decontam.cleaned(docs(spark, rows + ODD), bench)
     assert kept.count() == len(rows) + len(ODD) - len({r.doc_id for r in got}) and kept.columns == docs(spark, []).columns
     assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0 and decontam.cleaned(docs(spark, rows), bench.limit(0)).count() == len(rows)
@@ -311,21 +315,50 @@ def test_leaks_with_words_between_question_and_answer(spark):
     assert not {r.doc_id for r in decontam.cleaned(docs(spark, rows), bench).collect()} & set(range(60))
 
 
-def test_block_bounds_lose_nothing():
-    """Every passage whose exact score reaches the threshold is among the candidates."""
+def brute_bm25(items, words):
+    """Scores of the items with a passage, over each item's score with itself."""
+    split = [decontam.split_words(t) for _, t in items]
+    n, mean = len(split), sum(map(len, split)) / len(split)
+    df = Counter(w for ws in split for w in set(ws))
+    out = []
+    for ws in split:
+        of = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, c in Counter(ws).items()}
+        out.append(sum(v for w, v in of.items() if w in words) / sum(of.values()))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+def test_wand_equals_brute_force(threshold):
+    """Every passage with an item that reaches the threshold is walked, and the walk finds all its items."""
     rnd = random.Random(3)
     vocab = [f"w{k}" for k in range(80)]
-    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(3, 20)))) for i in range(40)]
-    index = decontam.build(items)
+    items = [(i, " ".join(rnd.choice(vocab[: rnd.choice((20, 80))]) for _ in range(rnd.randint(1, 20)))) for i in range(60)]
+    index = decontam.build(items, threshold)
     texts = [[rnd.choice(vocab).encode() for _ in range(rnd.randint(0, 120))] for _ in range(60)]
-    found = set(decontam.candidates(index, texts))
-    step = index.width // 2
+    found, step, n = set(decontam.promising(index, texts)), index.width // 2, 0
     for d, ws in enumerate(texts):
         for at in range(0, max(1, len(ws)), step):
-            mine = {index.terms.get(w) for w in ws[at : at + index.width]}
-            for k, impacts in enumerate(index.impacts):
-                if sum(v for t, v in impacts.items() if t in mine) >= index.threshold:
-                    assert (d, at, k // decontam.BLOCK) in found
+            words = set(ws[at : at + index.width])
+            want = {k: v for k, v in enumerate(brute_bm25(items, words)) if v >= threshold}
+            got = dict(decontam.wand(index, words))
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+            assert (d, at) in found or not want
+            n += len(want)
+    assert n > 20
+
+
+@pytest.mark.parametrize("shard_words", [100, 250])
+def test_shards_change_nothing(spark, shard_words):
+    rnd = random.Random(18)
+    vocab = [f"w{k}" for k in range(150)]
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = [(i, f"{say(rnd.randint(5, 25))}? {say(rnd.randint(1, 8)).capitalize()}." if i % 4 else say(rnd.randint(1, 9))) for i in range(40)]
+    rows = [(k, f"{say(40)} {rnd.choice(items)[1]} {say(30)}", "en", "s", 1) for k in range(80)]
+    bench = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
+    plain = lambda df: sorted((r.doc_id, r.item_id, r.first_word, *(round(r[k], 9) for k in ("score", "overlap", "question_overlap", "answer_overlap"))) for r in df.collect())
+    whole = plain(decontam.contaminated(docs(spark, rows), bench))
+    assert plain(decontam.contaminated(docs(spark, rows), bench, shard_words=shard_words)) == whole and len(whole) >= 80
+    assert {r.doc_id for r in decontam.cleaned(docs(spark, rows), bench, shard_words=shard_words).collect()} == {r[0] for r in rows} - {w[0] for w in whole}
 
 
 # --- near texts ----------------------------------------------------------------------------------
