@@ -219,18 +219,31 @@ def daily_rules(daily: DataFrame) -> list[DataFrame]:
 # --- parsed and staged questions -----------------------------------------------------------
 
 
+#: Roman numerals of references, and the digits that they stand for.
+_ROMAN = r"(?:III|II|IV|I|V)"
+_ROMAN_REFERENCE = rf"^(?i:only\s+)?{_ROMAN}(?:\s*,\s*{_ROMAN})*(?:\s+and\s+{_ROMAN})*(?i:\s+only)?$|^Both\s+I\s+and\s+II$|^Neither\s+I\s+nor\s+II$"
+
+
+def _in_digits(x: Column) -> Column:
+    """A reference in Roman numerals with digits instead; anything else as it is."""
+    out = x
+    for roman, digit in (("III", "3"), ("II", "2"), ("IV", "4"), ("I", "1"), ("V", "5")):
+        out = F.regexp_replace(out, rf"\b{roman}\b", digit)
+    return F.when(x.rlike(_ROMAN_REFERENCE), out).otherwise(x)
+
+
 def option_problems(options: str = "options") -> Column:
-    """What is still wrong with tidied options, as an array of messages."""
+    """What is still wrong with tidied options, as an array of messages; numerals count as the numbers they stand for."""
     o = F.col(options)
-    refs = F.size(F.filter(o, lambda x: x.rlike(f"^{tx.REFERENCE}$"))) >= 2
-    numbers = lambda x: F.transform(F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0)), lambda d: d.cast("int"))
+    whole = lambda x: _in_digits(x).rlike(f"^{tx.REFERENCE}$")
+    refs = F.size(F.filter(o, whole)) >= 2
+    numbers = lambda x: F.transform(F.regexp_extract_all(_in_digits(x), F.lit("[0-9]+"), F.lit(0)), lambda d: d.cast("int"))
     in_order = lambda x: numbers(x) == F.array_sort(F.array_distinct(numbers(x)))
     of = lambda bad, message: F.transform(F.filter(o, bad), lambda x: F.concat(F.lit(f"{message}: "), x))
-    digit = lambda x: refs & x.rlike("[0-9]")
+    digit = lambda x: refs & _in_digits(x).rlike("[0-9]")
     past9 = lambda x: F.exists(numbers(x), lambda d: d > 9)
-    whole = lambda x: x.rlike(f"^{tx.REFERENCE}$")
     return F.flatten(F.array(
-        of(lambda x: x.rlike(r"[A-Z]{3,4}-[A-Z]-[A-Z]{3,4}\b") | x.rlike(r"\[\s*P\W{0,2}T"), "page furniture"),
+        of(lambda x: x.rlike(tx.FURNITURE), "page furniture"),
         of(lambda x: tx.bad_ordering(x), "not a permutation"),
         of(lambda x: digit(x) & past9(x), "a statement number past 9"),
         of(lambda x: digit(x) & ~past9(x) & ~whole(x), "not a statement reference"),
@@ -266,16 +279,24 @@ def whole_papers(parsed: DataFrame, total: int, group: Iterable[str], number: st
     return g.withColumn("whole", (F.col("rows") == total) & (F.col("numbers") == total) & (F.col("last") == total) & (F.col("first") == 1))
 
 
+#: Words of a question that can't be asked without its picture, and characters that a scan puts in for others.
+PICTURED = ("figure", "figures", "diagram", "graph", "chart", "table", "pie", "shown below")
+ODD_CHARACTERS = "\u00b0\u00ae\u00ab\u00bb\u00a5#\u00a2*~|@{}[]"
+
+
 def draft_flags() -> Column:
     """V38 over q, options, passage, in_group, cell."""
     everything = F.concat_ws(" ", "q", F.array_join("options", " "))
+    words = lambda c, some: c.rlike(rf"(?i)\b(?:{'|'.join(some)})\b")
+    odd = F.length(F.translate(everything, ODD_CHARACTERS, "")) < F.length(everything)
+    misread = everything.rlike(r"[?%]\s*[0-9]") | everything.rlike(r"(?:\w|\s)_\s")  # a digit that follows what ends a phrase, a stray underscore
     return reasons(
         (F.size("options") != 4, F.format_string("%d options", F.size("options"))),
         (F.col("cell") == "X", "dropped"),
         ((F.col("cell") != "X") & (F.length("cell") > 1), F.concat(F.lit("key "), F.col("cell"))),
-        (F.col("q").rlike(r"(?i)\b(?:figure|figures|diagram|graph|chart|shown below|table|pie)\b"), "figure or table"),
-        (everything.rlike(r"[°®«»¥#*¢~|@{}\[\]]|\?\s*[0-9]|%\s*[0-9]|\s_\s|\w_\s"), "odd characters"),
-        (~F.col("in_group") & F.col("q").rlike(r"(?i)\bpassage\b|\bauthor\b"), "mentions a passage but has none"),
+        (words(F.col("q"), PICTURED), "figure or table"),
+        (odd | misread, "odd characters"),
+        (~F.col("in_group") & words(F.col("q"), ("passage", "author")), "mentions a passage but has none"),
         (F.col("in_group") & F.col("passage").isNull(), "in a passage group with no passage found"),
     )
 
