@@ -64,11 +64,33 @@ def confusable_key(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), CONFUSED_FROM, CONFUSED_TO)
 
 
+def _references() -> dict[str, str]:
+    """Named character references that end in a semicolon, as the language's library lists them."""
+    from html.entities import html5
+
+    return {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+
+
 def unescape_html(c: Column) -> Column:
-    """The named references that pages use most, decoded in one pass each, ``&amp;`` last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references decoded once: names, decimal and hexadecimal numbers. Unknown ones stay as they are.
+
+    A text is cut at its references, which are then looked up in a constant map, so what one decodes to is never read again.
+    """
+    mark = r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+    named = F.create_map(*[F.lit(x) for pair in sorted(_references().items()) for x in pair])
+
+    def char(r: Column) -> Column:
+        inner = F.substring(r, F.lit(2), F.length(r) - 2)
+        code = F.when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, F.lit(3), F.length(inner)), 16, 10)).when(inner.startswith("#"), F.substring(inner, F.lit(2), F.length(inner))).cast("int")
+        # a code point as UTF-32 bytes
+        point = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.try_element_at(named, inner), point, r)
+
+    def decoded(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(mark), F.lit(0)), char)
+        return F.array_join(F.zip_with(F.split(t, mark, -1), found, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+    return F.when(F.contains(c, F.lit("&")), let(c, decoded)).otherwise(c)
 
 
 def visible_text(c: Column) -> Column:
@@ -112,6 +134,28 @@ def minify_json(c: Column) -> Column:
     return F.regexp_replace(c, r'("(?:\\.|[^"\\])*")|\s+', "$1")
 
 
+def indent_json(c: Column, by: int = 2) -> Column:
+    """JSON with each member on a line of its own, indented by depth; what stands inside string literals stays.
+
+    A fold over the text's tokens: literals, empty containers, brackets, commas and colons.
+    """
+    token = r'"(?:\\.|[^"\\])*"|\{\s*\}|\[\s*\]|[{}\[\],:]|[^\s{}\[\],:"]+'
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit(" "), depth * by))
+
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        empty = t.rlike(r"^(?:\{\s*\}|\[\s*\])$")
+        depth = F.when(opens, acc["depth"] + 1).when(closes, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        shown = (
+            F.when(opens, F.concat(t, line(depth))).when(closes, F.concat(line(depth), t)).when(t == ",", F.concat(t, line(depth)))
+            .when(t == ":", F.lit(": ")).when(empty, F.regexp_replace(t, r"\s", "")).otherwise(t)
+        )
+        return F.struct(depth.alias("depth"), F.concat(acc["out"], shown).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(c, F.lit(token), F.lit(0)), start, step)["out"]
+
+
 def thousands(c: Column) -> Column:
     return F.format_number(c, 0)
 
@@ -210,7 +254,7 @@ def snap_combination(c: Column, statements: Column, longest: int = 30) -> Column
 #: Tokens of a reference to numbered statements. A stroke is a 1 that a scan made a letter.
 _STROKE = r"[lLI|i](?![A-Za-z])"
 _JOINING = r"(?i:and|only|0nly|both|neither|nor|or)"
-_TOKEN = rf"(?:[0-9]+|,|{_JOINING}(?![A-Za-z])|{_STROKE})"
+_TOKEN = rf"(?:{_JOINING}(?![A-Za-z])|[0-9]+|,|{_STROKE})"
 
 
 def _reference_tokens(head: Column) -> Column:
@@ -341,7 +385,7 @@ def _renumbered(c: Column) -> Column:
 
 def tidy_stem(c: Column) -> Column:
     """Page furniture, rules and specks out of a question's text; statement numbers put back in order."""
-    t = F.regexp_replace(squeeze(c), rf"\s?(?:{FURNITURE})", "")
+    t = F.regexp_replace(squeeze(c), FURNITURE, " ")
     alone = rf"(?:^|(?<=\s))(?:[|]\s?[0-9]{{2,3}}[.]?|{_SPECK}+|[\u2018'](?=\s[0-9]\s?[.,]\s))(?=\s|$)"
     t = squeeze(F.regexp_replace(t, alone, " "))
     return renumber_statements(F.regexp_replace(t, rf"(?:\s+(?:{_SPECK}|[.,])+)+$", ""))

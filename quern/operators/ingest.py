@@ -93,6 +93,12 @@ def judged(batch: DataFrame, bank: DataFrame, topics: DataFrame, passages: DataF
     return named.withColumn("why", F.concat("_own", repeat)).select(*batch.columns, "why")
 
 
+def dry_run(judgement: DataFrame) -> DataFrame:
+    """What an import would do, and nothing written: rows by reason, a row counting once for each; "taken" for those without."""
+    why = F.when(F.size("why") == 0, F.array(F.lit("taken"))).otherwise(F.transform("why", lambda x: F.when(x.startswith("already asked as"), F.lit("already asked")).otherwise(x)))
+    return judgement.select(F.explode(why).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def taken(judgement: DataFrame) -> DataFrame:
     return judgement.filter(F.size("why") == 0).drop("why")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ def key_letters(questions: DataFrame, keys: DataFrame, *, number: str = "n") ->
 
     A cell of several letters or X has no single answer: null. A number past the key: null.
     """
-    joined = questions.join(keys.select("year", "code", "set", "letters"), ["year", "code", "set"], "left").withColumn("cell", F.try_element_at("letters", F.col(number)))
+    joined = questions.join(keys.select("year", "code", "set", "letters"), ["year", "code", "set"], "left").withColumn("cell", F.get("letters", F.col(number) - 1))
     at = F.instr(F.lit("ABCD"), F.col("cell")) - 1
     return joined.withColumn("answer", F.when((F.length("cell") == 1) & (at >= 0), at)).drop("letters")
 
@@ -132,23 +134,59 @@ def modes(rows: DataFrame, group: list[str], value: str, seq: str) -> DataFrame:
     return by_priority(counted, group, F.col("n").desc(), "_first").drop("_first")
 
 
+def range_of(rows: DataFrame, value: str, ranges: int = 256) -> Callable[[Column], Column]:
+    """A function from a numeric value to its range, of ``ranges`` that hold about as many rows each.
+
+    The bounds come from approximate quantiles, so they only place rows; at most ``ranges`` numbers reach the driver.
+    """
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = sorted(set(rows.filter(F.col(value).isNotNull()).approxQuantile(value, shares, 0.5 / ranges)))
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.expr("cast(array() as array<double>)")
+    return lambda v: F.size(F.filter(bounds, lambda c: c < v))
+
+
 def upper_medians(rows: DataFrame, group: str, value: str, *, least: int = 3) -> DataFrame:
-    """A5: the upper median of each group's values; the whole table's for groups of under ``least``.
+    """A5: the upper median of each group's values; the whole table's for groups of under ``least``. Null values don't count.
 
-    Positions come from counts of distinct values, so no group is gathered into one array.
+    Distinct values are counted, counts are summed by range of values, and only the range that holds the median is put in
+    order, so neither a large group nor the whole table is sorted in one task.
     """
+    rows = rows.filter(F.col(value).isNotNull())
+    place = range_of(rows, value)
+
     def median(df: DataFrame, keys: list[str]) -> DataFrame:
-        counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-        part = Window.partitionBy(*keys)
-        run = F.sum("n").over(part.orderBy(value))
-        placed = counts.withColumns({"_run": run, "_all": F.sum("n").over(part)})
-        return placed.filter(F.col("_run") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias("median"), F.first("_all").alias("n"))
-
-    own = median(rows.filter(F.col(value).isNotNull()), [group])
-    whole = median(rows.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)), ["_one"]).select(F.col("median").alias("_whole"))
+        counts = df.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("_range", place(F.col(value)))
+        run = Window.partitionBy(*keys).orderBy("_range")
+        sums = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_sum"))
+        sums = sums.withColumns({"_upto": F.sum("_sum").over(run), "_all": F.sum("_sum").over(Window.partitionBy(*keys))})
+        held = sums.filter((F.col("_upto") > F.floor(F.col("_all") / 2)) & (F.col("_upto") - F.col("_sum") <= F.floor(F.col("_all") / 2)))
+        named = held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), (F.col("_upto") - F.col("_sum")).alias("_before"), "_all")
+        same = F.col("_range") == F.col("_r")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        inside = counts.join(named, same)
+        at = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy(value))
+        return inside.withColumn("_at", at).filter(F.col("_at") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias("median"), F.first("_all").alias("n"))
+
+    own = median(rows, [group])
+    whole = median(rows.withColumn("_one", F.lit(1)), ["_one"]).select(F.col("median").alias("_whole"))
     return own.crossJoin(F.broadcast(whole)).select(group, F.when(F.col("n") >= least, F.col("median")).otherwise(F.col("_whole")).alias("median"))
 
 
+def numbered(rows: DataFrame, key: str, seq: str, *, to: str = "k") -> DataFrame:
+    """``rows`` with their place within their key, from 1, in order of the numeric ``seq`` (distinct within a key; no nulls).
+
+    Places are counted by range of ``seq`` first, then within a range, so a key with many rows is spread over tasks.
+    """
+    placed = rows.withColumn("_range", range_of(rows, seq)(F.col(seq)))
+    counts = placed.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_range")) - F.col("_n")
+    ahead = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_r"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(seq))
+    joined = placed.join(ahead, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(to, F.col("_before") + inside).drop("_key", "_r", "_range", "_before")
+
+
 def missing_numbers(rows: DataFrame, group: str, number: str, last: Column) -> DataFrame:
     """Numbers from 1 to ``last`` (an aggregate over the group) that a group lacks."""
     want = rows.groupBy(group).agg(last.alias("_last")).select(group, F.explode(F.sequence(F.lit(1), F.greatest("_last", F.lit(1)))).alias(number))
@@ -204,27 +242,30 @@ def term_bags(topics: DataFrame, *, key: str = "id", weighted: Iterable[tuple[st
     return parts.groupBy("topic", "term").agg(F.sum("w").alias("tf"))
 
 
-def idf(bags: DataFrame, topics: int | Column) -> DataFrame:
-    """(term, idf): log(topics / (1 + topics that hold the term)), 0 at least."""
-    n = F.lit(topics) if isinstance(topics, int) else topics
-    return bags.groupBy("term").agg(F.count("*").alias("df")).select("term", F.greatest(F.lit(0.0), F.log(n / (1 + F.col("df")))).alias("idf"))
+#: Weights of terms for topics up to which ranking sends them to every task and shuffles nothing.
+SMALL_BAGS = 1_000_000
 
 
-def rank_topics(queries: DataFrame, bags: DataFrame, topics: int, *, key: str = "id", text: str = "text", top: int = 3, subject: str | None = None) -> DataFrame:
+def rank_topics(queries: DataFrame, bags: DataFrame, topics: int | DataFrame, *, key: str = "id", text: str = "text", top: int = 3, subject: str | None = None, small: int = SMALL_BAGS) -> DataFrame:
     """The best topics of each text by shared rare terms, with the lead over the runner-up.
 
     score = sum over shared terms of min(count, 3) * ln(1 + tf) * idf; equal scores (to nine
     decimals, as sums depend on order) in order of the topic's id. With ``subject`` (a column of queries that may be null) only topics whose
-    id begins with it compete. ``weak``: score under 8, or a lead under 1.25.
-    The counts of a text and the bags are joined by term, which is the only large
-    exchange; terms of idf 0 are dropped before it.
+    id begins with it compete. ``weak``: score under 8, or a lead under 1.25. Terms of idf 0 are dropped first.
+
+    While the topics' weights are at most ``small`` in number they go to every task, and a text is ranked where it stands;
+    beyond, counts and weights meet by term.
     """
-    live = bags.join(idf(bags, topics).filter("idf > 0"), "term").withColumn("w", F.log(1 + F.col("tf")) * F.col("idf")).select("term", "topic", "w")
-    cols = [F.col(key).alias("_id")] + ([F.col(subject).alias("_subject")] if subject else [])
-    q = queries.select(*cols, F.explode(tx.terms(F.col(text))).alias("term")).groupBy("_id", *(["_subject"] if subject else []), "term").agg(F.least(F.count("*"), F.lit(3)).alias("c"))
-    j = q.join(live, "term")
-    if subject:
-        j = j.filter(F.col("_subject").isNull() | F.col("topic").startswith(F.concat(F.col("_subject"), F.lit("-"))))
+    n = F.lit(topics) if isinstance(topics, int) else F.col("_topics")
+    counted = bags if isinstance(topics, int) else bags.crossJoin(F.broadcast(topics.agg(F.count("*").alias("_topics"))))
+    rare = counted.groupBy("term").agg(F.greatest(F.lit(0.0), F.log(F.first(n) / (1 + F.count("*")))).alias("idf")).filter("idf > 0")
+    live = bags.join(rare, "term").withColumn("w", F.log(1 + F.col("tf")) * F.col("idf")).select("term", "topic", "w")
+    hint = F.col(subject) if subject else F.lit(None).cast("string")
+    held = live.limit(small + 1).toArrow()
+    if held.num_rows <= small:
+        return _ranked_in_place(queries.select(F.col(key), hint.alias("_subject"), tx.terms(F.col(text)).alias("_terms")), held.to_pydict(), key, top)
+    q = queries.select(F.col(key).alias("_id"), hint.alias("_subject"), F.explode(tx.terms(F.col(text))).alias("term")).groupBy("_id", "_subject", "term").agg(F.least(F.count("*"), F.lit(3)).alias("c"))
+    j = q.join(live, "term").filter(F.col("_subject").isNull() | F.col("topic").startswith(F.concat(F.col("_subject"), F.lit("-"))))
     scored = j.groupBy("_id", "topic").agg(F.sum(F.col("c") * F.col("w")).alias("score")).filter("score > 0")
     order = Window.partitionBy("_id").orderBy(F.round("score", 9).desc(), "topic")
     scored = scored.withColumns({"rank": F.row_number().over(order), "_next": F.lead("score").over(order)}).filter(F.col("rank") <= top)
@@ -233,6 +274,41 @@ def rank_topics(queries: DataFrame, bags: DataFrame, topics: int, *, key: str =
     return scored.select(F.col("_id").alias(key), "rank", "topic", "score", F.when(F.col("rank") == 1, lead).alias("lead"), F.when(F.col("rank") == 1, weak).alias("weak"))
 
 
+def _ranked_in_place(queries: DataFrame, live: dict[str, list], key: str, top: int) -> DataFrame:
+    """``rank_topics`` of (key, _subject, _terms) by weights (term, topic, w)."""
+    topics = sorted(set(live["topic"]))
+    at = {t: k for k, t in enumerate(topics)}
+    weights: dict[str, list[tuple[int, float]]] = {}
+    for term, topic, w in zip(live["term"], live["topic"], live["w"]):
+        weights.setdefault(term, []).append((at[topic], w))
+    kind = queries.schema[key].dataType.simpleString()
+    schema = pa.schema([("rank", pa.int32()), ("topic", pa.string()), ("score", pa.float64()), ("lead", pa.float64()), ("weak", pa.bool_())])
+
+    def ranked(subject: str | None, terms: list[str]) -> Iterator[tuple]:
+        scores: dict[int, float] = {}
+        for term, n in Counter(t for t in terms if t in weights).items():
+            for k, w in weights[term]:
+                scores[k] = scores.get(k, 0.0) + min(n, 3) * w
+        if subject is not None:
+            scores = {k: v for k, v in scores.items() if topics[k].startswith(f"{subject}-")}
+        best = sorted((-round(v, 9), k) for k, v in scores.items() if v > 0)[: top + 1]
+        for rank, (_, k) in enumerate(best[:top], 1):
+            lead = (scores[k] / scores[best[1][1]] if len(best) > 1 else 9.9) if rank == 1 else None
+            yield rank, topics[k], scores[k], lead, None if lead is None else scores[k] < 8 or lead < 1.25
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, owner = [], []
+            for i, (subject, terms) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                found = list(ranked(subject, terms or []))
+                rows += found
+                owner += [i] * len(found)
+            made = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema).to_batches() or [pa.RecordBatch.from_pylist([], schema)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *pa.Table.from_batches(made).combine_chunks().to_batches()[0].columns] if rows else [b.column(0).slice(0, 0), *made[0].columns], names=[key, *schema.names])
+
+    return queries.mapInArrow(run, f"`{key}` {kind}, rank int, topic string, score double, lead double, weak boolean")
+
+
 def duplicates_of(rows: DataFrame, identity: Column, key: str, seq: str) -> DataFrame:
     """Rows whose identity an earlier row has, with that first row's key. Null identities are equal.
 

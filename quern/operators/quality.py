@@ -139,7 +139,7 @@ def paper_tag_rules(questions: DataFrame, keys: DataFrame) -> list[DataFrame]:
         F.when(F.col("_y").isNull(), "no such year").when(F.col("_p").isNull(), "no such paper").when(F.col("letters").isNull(), "no such set")
         .when(F.col("n").isNull() | (F.col("n") < 1), "no such number").when(F.col("n") > F.size("letters"), "V16")
     )
-    cell = F.try_element_at("letters", F.col("n"))
+    cell = F.get("letters", F.col("n") - 1)
     letter = F.substring(F.lit("ABCD"), F.col("answer") + 1, F.lit(1))
     j = j.withColumns({"_first": first, "_cell": cell, "_letter": letter})
     good = F.col("_first").isNull()

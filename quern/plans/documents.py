@@ -62,15 +62,15 @@ def html_escaped(spark, sf_dir):
 
 
 def line_modes(spark, sf_dir):
-    first = _docs(spark, sf_dir).select("source", "doc_id", F.split("text", "\n", 2)[0].alias("line"))
-    return match.modes(first, ["source"], "line", "doc_id").select("source", "line", "n")
+    lines = _docs(spark, sf_dir).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return match.modes(lines.withColumn("at", F.struct("doc_id", "pos")), ["source"], "line", "at").select("source", "line", "n")
 
 
 def idf_topk(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     topics = items.select(F.format_string("%06d", "item_id").alias("id"), F.col("text").alias("name"))
     bags = match.term_bags(topics, weighted=(("name", 3),))
-    ranked = match.rank_topics(_docs(spark, sf_dir), bags, topics.count(), key="doc_id")
+    ranked = match.rank_topics(_docs(spark, sf_dir), bags, topics, key="doc_id")
     return ranked.select("doc_id", "rank", F.col("topic").cast("long").alias("item_id"), F.round("score", 6).alias("score"))
 
 
@@ -128,7 +128,7 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _FOLD = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _LINES = "SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents"
-_FURNITURE = f"""SELECT line, count(DISTINCT doc_id) AS n_docs FROM ({_LINES}) WHERE length(line) BETWEEN 1 AND 40
+_FURNITURE = f"""SELECT line, count(DISTINCT doc_id) AS n_docs FROM ({_LINES}) WHERE length(line) BETWEEN 1 AND 40 AND NOT regexp_matches(line, '\\([a-d]\\)|^[0-9]{{1,3}}[.,] ')
     GROUP BY line HAVING count(DISTINCT doc_id) > 0.01 * (SELECT count(DISTINCT doc_id) FROM documents)"""
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 _TERMS = f"list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]{{2,}}'), lambda w: w NOT IN ({_STOP}))"
@@ -151,7 +151,8 @@ ORACLE_SQL = {
     "term_counts": f"SELECT doc_id, len(t)::INT AS n_terms, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, {_TERMS} AS t FROM documents)",
     "html_escaped": """SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS hash FROM documents""",
     "line_modes": """SELECT source, line, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS k FROM
-        (SELECT source, string_split(text, chr(10))[1] AS line, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL)) WHERE k = 1""",
+        (SELECT source, line, count(*) AS n, min({'d': doc_id, 'p': p}) AS f FROM
+          (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM documents) GROUP BY source, line)) WHERE k = 1""",
     "idf_topk": f"""WITH b AS (SELECT item_id, term, 3 * count(*) AS tf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
         i AS (SELECT term, greatest(0.0, ln((SELECT count(*) FROM benchmark) / (1 + count(*))::DOUBLE)) AS idf FROM b GROUP BY term),
         q AS (SELECT doc_id, term, least(count(*), 3) AS c FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),

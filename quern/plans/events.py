@@ -100,6 +100,14 @@ _DAYS = """SELECT user_id, ts::DATE AS day, sum(CASE WHEN event_type = 'purchase
     count(CASE WHEN event_type = 'error' THEN 1 END) AS voided FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL"""
 _USERS = "SELECT DISTINCT user_id FROM events WHERE event_type IN ('purchase', 'error')"
 _STAMPS = "SELECT user_id, list_sort(list_distinct(list(event_id))) AS u FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY user_id"
+_IN = "a.step IS NOT NULL AND NOT a.done"
+#: The ladder as a fold over an item's attempts: state and attempt are one kind of struct.
+_LADDER = f"""SELECT user_id, item, list_reduce(log, lambda a, x: {{'r': x.r, 'd': x.d,
+      'step': CASE WHEN NOT x.r THEN 0 WHEN {_IN} AND a.step < 4 THEN a.step + 1 ELSE a.step END,
+      'due': CASE WHEN NOT x.r THEN x.d + 1 WHEN {_IN} THEN CASE WHEN a.step >= 4 THEN NULL ELSE x.d + [1, 3, 7, 21, 60][a.step + 2] END ELSE a.due END,
+      'done': CASE WHEN NOT x.r THEN false WHEN {_IN} AND a.step >= 4 THEN true ELSE a.done END}}, {{'r': true, 'd': NULL::DATE, 'step': NULL::INT, 'due': NULL::DATE, 'done': false}}) AS s
+    FROM (SELECT user_id, (floor(value)::INT % 5)::INT AS item, list({{'r': event_type = 'purchase', 'd': ts::DATE, 'step': NULL::INT, 'due': NULL::DATE, 'done': false}} ORDER BY event_id) AS log
+      FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL)"""
 ORACLE_SQL = {
     "score_sheet": """SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS "right", count(CASE WHEN event_type = 'error' THEN 1 END) AS wrong,
         count(CASE WHEN event_type IN ('view', 'click') THEN 1 END) AS blank, count(CASE WHEN event_type = 'signup' THEN 1 END) AS dropped,
@@ -111,8 +119,11 @@ ORACLE_SQL = {
     "goal_streak": f"""WITH met AS (SELECT user_id, day FROM ({_DAYS}) WHERE minutes >= 15),
         past AS (SELECT user_id, count(*) AS n FROM (SELECT user_id, day + row_number() OVER (PARTITION BY user_id ORDER BY day DESC)::INT AS e FROM met WHERE day < DATE '2024-01-30') WHERE e = DATE '2024-01-30' GROUP BY user_id)
         SELECT user_id, coalesce(n, 0) + CASE WHEN (user_id, DATE '2024-01-30') IN (SELECT (user_id, day) FROM met) THEN 1 ELSE 0 END AS streak FROM ({_USERS}) LEFT JOIN past USING (user_id)""",
-    "spaced_due": """SELECT user_id, CASE WHEN t < 20 THEN NULL WHEN len(r) = 0 THEN 0 ELSE date_diff('day', DATE '2024-01-31', list_max(r)::DATE + [3, 7, 21, 60, 120][least(len(r), 5)]::INT) END::INT AS due_in
-        FROM (SELECT user_id, count(DISTINCT hour(ts)) AS t, list_sort(list(ts) FILTER (event_type = 'signup'))[1:4] AS r FROM events GROUP BY user_id)""",
+    "spaced_due": """SELECT user_id, CASE WHEN t < 20 THEN NULL WHEN coalesce(len(r), 0) = 0 THEN 0 ELSE date_diff('day', DATE '2024-01-31', list_max(r)::DATE + [3, 7, 21, 60, 120][least(len(r), 5)]::INT) END::INT AS due_in
+        FROM (SELECT user_id, count(DISTINCT hour(ts)) AS t, list(DISTINCT ts) FILTER (event_type = 'signup') AS r FROM events GROUP BY user_id)""",
+    "mistake_ladder": f"SELECT user_id, item, s.step AS step, s.due AS due, s.done AS done FROM ({_LADDER}) WHERE s.step IS NOT NULL",
+    "due_queue": f"""SELECT user_id, count(*) AS n_due, arg_min(item, {{'d': s.due, 'i': item}}) AS first_item FROM ({_LADDER})
+        WHERE s.step IS NOT NULL AND NOT s.done AND s.due <= DATE '2024-02-10' GROUP BY user_id""",
     "run_streaks": """WITH s AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events WHERE event_type IN ('purchase', 'error'))
         SELECT event_id, (sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY event_id))::BIGINT AS streak FROM s""",
     "sittings": """WITH n AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),

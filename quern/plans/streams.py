@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.plans import events
 from quern.sources import sinks
 from quern.streaming import sittings as st
 
@@ -55,6 +56,7 @@ def stream_ladder(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_day_totals, stream_run_streaks, stream_ladder)}
 
 ORACLE_SQL = {
+    "stream_ladder": events.ORACLE_SQL["mistake_ladder"],
     "stream_day_totals": "SELECT ts::DATE AS day, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL",
     "stream_run_streaks": """SELECT user_id, count(CASE WHEN event_type = 'purchase' AND ts > last THEN 1 END)::INT AS streak, count(CASE WHEN event_type = 'purchase' THEN 1 END)::INT AS done,
         count(CASE WHEN event_type = 'error' THEN 1 END)::INT AS voided FROM (SELECT *, coalesce(max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id), TIMESTAMP '1970-01-01') AS last

@@ -104,15 +104,16 @@ def rendered(spark, sf_dir):
 
 
 def key_blocks(spark, sf_dir):
-    flags = _read(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("at"), "l_returnflag")
-    keys = flags.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "l_returnflag"))), lambda s: s["l_returnflag"]), "").alias("a"))
+    """The return flags of each 32 orders, whole, and the same blocks in another order, with one cell changed in every other bucket."""
+    flags = _read(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 32").alias("bucket"), F.struct("l_orderkey", "l_linenumber").alias("at"), "l_returnflag")
+    keys = flags.groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "l_returnflag"))), lambda s: s["l_returnflag"]), "").alias("a"))
     # the largest block that divides the whole sequence; a sequence that has none is one block
     keys = keys.withColumn("size", F.coalesce(F.array_max(sequences.block_sizes(F.length("a"))), F.length("a")))
     b = F.array_join(F.reverse(sequences.blocks(F.col("a"), F.col("size"))), "")
-    b = F.when(F.col("l_suppkey") % 2 == 1, F.overlay(b, F.lit("X"), F.least(F.length("a"), F.lit(7)))).otherwise(b)
-    found = keys.select("l_suppkey", "a", "size", b.alias("b"))
+    b = F.when(F.col("bucket") % 2 == 1, F.overlay(b, F.lit("X"), F.least(F.length("a"), F.lit(7)))).otherwise(b)
+    found = keys.select("bucket", "a", "size", b.alias("b"))
     return found.select(
-        "l_suppkey", sequences.largest_block(F.col("a"), [F.col("b")]).alias("block"), sequences.blocks_agree(F.col("a"), F.col("b"), F.col("size")).alias("ok"),
+        "bucket", sequences.largest_block(F.col("a"), [F.col("b")]).alias("block"), sequences.blocks_agree(F.col("a"), F.col("b"), F.col("size")).alias("ok"),
         F.array_join(F.transform(sequences.permutation(F.col("a"), F.col("b"), F.col("size")), lambda x: x.cast("string")), ",").alias("perm"), sequences.repeated_blocks(F.col("a"), 5).alias("repeats"),
     )
 
@@ -123,7 +124,7 @@ _FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
-_CHUNKS = lambda v, n, size: f"[{', '.join(f'substr({v}, {k * size + 1}, {size})' for k in range(n // size))}]"
+_CHUNKS = lambda v, size: f"list_transform(range(0, length({v}) // {size}), lambda i: substr({v}, (i * {size} + 1)::BIGINT, {size}::BIGINT))"
 _MAY = "(make_date({y}, 5, 31) - dayofweek(make_date({y}, 5, 31))::INT)"
 ORACLE_SQL = {
     "quality_violations": """SELECT rule, entity, count(*) AS n, 0::BIGINT AS no_key FROM (
@@ -158,11 +159,14 @@ ORACLE_SQL = {
     "exam_days": f"""SELECT year, {_MAY.format(y="year")} AS exam, make_date(year, 9, 1) AS mains, {_MAY.format(y="(year + 1)")} AS upcoming
         FROM (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders)""",
     "rendered": "SELECT n_nationkey, '<b>' || n_name || '</b> __NAME__' || n_nationkey || ' .' AS html, '__NONE__' AS missing FROM nation",
-    "key_blocks": f"""WITH s AS (SELECT l_suppkey, substr(string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber), 1, 40) AS a FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 40),
-        r AS (SELECT *, array_to_string(list_reverse({_CHUNKS("a", 40, 10)}), '') AS b0 FROM s),
-        t AS (SELECT l_suppkey, a, CASE WHEN l_suppkey % 2 = 1 THEN substr(b0, 1, 6) || 'X' || substr(b0, 8) ELSE b0 END AS b FROM r),
-        o AS (SELECT *, {" , ".join(f"list_sort({_CHUNKS('a', 40, k)}) = list_sort({_CHUNKS('b', 40, k)}) AS ok{k}" for k in (5, 8, 10, 20))} FROM t)
-        SELECT l_suppkey, CASE WHEN ok20 THEN 20 WHEN ok10 THEN 10 WHEN ok8 THEN 8 WHEN ok5 THEN 5 END AS block, ok10 AS ok,
-        array_to_string(list_transform({_CHUNKS("b", 40, 10)}, lambda x: coalesce(list_position({_CHUNKS("a", 40, 10)}, x), 0)), ',') AS perm,
-        (8 - len(list_distinct({_CHUNKS("a", 40, 5)})))::INT AS repeats FROM o""",
+    "key_blocks": f"""WITH s AS (SELECT l_orderkey // 32 AS bucket, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_returnflag) AS a FROM lineitem GROUP BY ALL),
+        d AS (SELECT *, list_filter(range(5, length(a) // 2 + 1), lambda k: length(a) % k = 0) AS sizes FROM s),
+        e AS (SELECT *, coalesce(list_max(sizes), length(a)) AS size FROM d),
+        r AS (SELECT *, array_to_string(list_reverse({_CHUNKS("a", "size")}), '') AS b0, least(length(a), 7) AS x FROM e),
+        t AS (SELECT *, CASE WHEN bucket % 2 = 1 THEN substr(b0, 1, x - 1) || 'X' || substr(b0, x + 1) ELSE b0 END AS b FROM r),
+        u AS (SELECT bucket, k, list_sort({_CHUNKS("a", "k")}) = list_sort({_CHUNKS("b", "k")}) AS ok FROM (SELECT bucket, a, b, unnest(sizes) AS k FROM t)),
+        v AS (SELECT bucket, max(CASE WHEN ok THEN k END) AS block FROM u GROUP BY bucket)
+        SELECT bucket, block::INT AS block, list_sort({_CHUNKS("a", "size")}) = list_sort({_CHUNKS("b", "size")}) AS ok,
+        array_to_string(list_transform({_CHUNKS("b", "size")}, lambda y: coalesce(list_position({_CHUNKS("a", "size")}, y), 0)), ',') AS perm,
+        (length(a) // 5 - len(list_distinct({_CHUNKS("a", "5")})))::INT AS repeats FROM t LEFT JOIN v USING (bucket)""",
 }

@@ -6,15 +6,20 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quern.operators.match import numbered
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names (one of our own only where it is unset), deleted when the application ends."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names (one of our own only where it is unset), deleted when the application ends. Without one, only a local session may go on."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='quern-')}"  # one process: its own folder is shared with itself
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -52,11 +57,16 @@ def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def restored(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The last state that ``snapshot`` wrote; columns that it lacks are null, others are left out."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def free_names(files: DataFrame, *, name: str = "name", seq: str = "seq") -> DataFrame:
-    """Copies of a name become "name (2).ext" and so on, in order of arrival."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(seq))
+    """Copies of a name become "name (2).ext" and so on, in order of arrival (a number)."""
+    files, k = numbered(files, name, seq, to="_copy"), F.col("_copy")
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn("free_name", F.when(k == 1, F.col(name)).otherwise(F.concat(stem, F.format_string(" (%d)", k), ext)))
+    return files.withColumn("free_name", F.when(k == 1, F.col(name)).otherwise(F.concat(stem, F.format_string(" (%d)", k), ext))).drop("_copy")
 
 
 def download_name(url: Column) -> Column:
