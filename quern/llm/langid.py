@@ -45,6 +45,10 @@ def pieces(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
+#: Values up to which a table is also kept as a full matrix, which is quicker; results are the same.
+_DENSE = 20_000_000
+
+
 class Table:
     """Counts by language of words or grams: for each language a constant, for each item the languages that know it."""
 
@@ -58,13 +62,22 @@ class Table:
         order = np.argsort(at, kind="stable")
         self.items, self.lang, self.gain = items, lang[order], gain[order]
         self.start = np.searchsorted(at[order], np.arange(len(items) + 1))
-
-    def add(self, known: list[int], to: np.ndarray) -> None:
-        """The mean vector of the items numbered ``known``, added to ``to``."""
-        to += self.constant
-        for k in known:
-            part = slice(self.start[k], self.start[k + 1])
-            to[self.lang[part]] += self.gain[part] / len(known)
+        self.full = None
+        if len(items) * len(counts) <= _DENSE:
+            self.full = np.zeros((len(items), len(counts)), np.float32)
+            self.full[at[order], self.lang] = self.gain
+
+    def means(self, known: list[int], sizes: list[int]) -> np.ndarray:
+        """A vector for each run of ``sizes`` items among ``known`` (item numbers): the mean of the run."""
+        cuts = np.cumsum([0, *sizes])[:-1]
+        if self.full is not None:
+            total = np.add.reduceat(self.full[known], cuts, axis=0)
+        else:
+            begin, n = self.start[known], self.start[np.array(known) + 1] - self.start[known]
+            at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            total = np.zeros((len(sizes), len(self.constant)), np.float32)
+            np.add.at(total, (np.repeat(np.repeat(np.arange(len(sizes)), sizes), n), self.lang[at]), self.gain[at])
+        return total / np.array(sizes, np.float32)[:, None] + self.constant
 
 
 class Model:
@@ -86,18 +99,26 @@ class Model:
             grams.append(Table(by))
         self.grams = grams
 
-    def vector(self, word: str) -> np.ndarray:
-        """Log frequency of a word in each language, or the mean of its known grams."""
-        out = np.zeros(len(self.langs), np.float32)
-        at = self.words.items.get(word)
-        if at is not None:
-            self.words.add([at], out)
-            return out
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """Log frequency of each word in each language; of an unknown word the mean of its known grams, of the longest order that has any."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        items = self.words.items
+        known = [k for k, w in enumerate(words) if w in items]
+        if known:
+            out[known] = self.words.means([items[words[k]] for k in known], [1] * len(known))
+        left = [k for k, w in enumerate(words) if w not in items]
         for table, order in zip(self.grams, ORDERS):
-            known = [table.items[x] for x in pieces(word, order) if x in table.items]
-            if known:
-                table.add(known, out)
-                return out
+            flat, sizes, done, rest, get = [], [], [], [], table.items.get
+            for k in left:
+                found = [x for x in map(get, pieces(words[k], order)) if x is not None]
+                if found:
+                    flat += found
+                    sizes.append(len(found)), done.append(k)
+                else:
+                    rest.append(k)
+            if done:
+                out[done] = table.means(flat, sizes)
+            left = rest
         return out
 
 
@@ -112,13 +133,13 @@ def sampled(docs: DataFrame, *, learn_from: Column | None, text: str, lang: str,
     # the place of a key: uniform in 0 to 1
     place = F.shiftrightunsigned(F.xxhash64(F.col("k"), F.lit(5)), 11) / F.lit(float(1 << 53))
     narrow = rows.select("k", "l", place.alias("u"))
-    share = F.lit(2.0 * per_lang + 64) / F.count("*")
-    counted = narrow.groupBy("l").agg(share.alias("share"))
-    near = narrow.join(counted, "l").filter(F.col("u") < F.col("share")).select("l", "u", "k").distinct()
+    counted = narrow.groupBy("l").agg((F.lit(2.0 * per_lang + 64) / F.count("*")).alias("share"))
+    few = counted.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    small = F.broadcast if few else (lambda df: df)
+    near = narrow.join(small(counted), "l").filter(F.col("u") < F.col("share")).select("l", "u", "k").distinct()
     nth = F.row_number().over(Window.partitionBy("l").orderBy("u", "k"))
     cuts = near.withColumn("n", nth).filter(F.col("n") <= per_lang).groupBy("l").agg(F.max(F.struct("u", "k")).alias("cut"))
-    few = counted.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
-    kept = rows.withColumn("u", place).join(F.broadcast(cuts) if few else cuts, "l").filter((F.col("u") < F.col("cut.u")) | ((F.col("u") == F.col("cut.u")) & (F.col("k") <= F.col("cut.k"))))
+    kept = rows.withColumn("u", place).join(small(cuts), "l").filter((F.col("u") < F.col("cut.u")) | ((F.col("u") == F.col("cut.u")) & (F.col("k") <= F.col("cut.k"))))
     return kept.groupBy("l", "k").agg(F.min("t").alias("t")).select("l", "t")
 
 
@@ -148,22 +169,26 @@ def train(docs: DataFrame, *, learn_from: Column | None = None, text: str = "tex
 
 
 class _Memo(dict):
-    """Row numbers of words in a growing table of vectors."""
+    """Row numbers of words in a growing table of vectors; row 0 is for what has no letter."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.table = model, np.zeros((1024, len(model.langs)), np.float32)
-
-    def full(self) -> bool:
-        return len(self) * max(4, len(self.model.langs)) > _MEMO
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k >= len(self.table):
+        self.model, self.table, self.used = model, np.zeros((1024, len(model.langs)), np.float32), 1
+
+    def learn(self, words: set[str]) -> None:
+        """Rows for the words that have none yet."""
+        if len(self) * max(4, len(self.model.langs)) > _MEMO:
+            self.clear()
+            self.used = 1
+        new = [w for w in words if w not in self]
+        letters = {w: w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in new}
+        real = [w for w in new if letters[w]]
+        while self.used + len(real) > len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[k] = self.model.vector(word)
-        self[word] = k
-        return k
+        self.table[self.used : self.used + len(real)] = self.model.vectors([letters[w] for w in real])
+        self.update(dict.fromkeys(new, 0))
+        self.update(zip(real, range(self.used, self.used + len(real))))
+        self.used += len(real)
 
 
 def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,25 +200,19 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     """
     kind = docs.schema[key].dataType.simpleString()
 
-    def mean(words: list[str], memo: _Memo) -> np.ndarray:
-        z, step = np.zeros(len(model.langs)), 50_000
-        for at in range(0, len(words), step):
-            places = [memo[w] for w in words[at : at + step]]
-            z += memo.table[places].sum(0, dtype=np.float64)
-        return z / len(words)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model)
-        for b in slices(batches, 500):
+        for b in slices(batches, 500, 4 << 20):
             names, scores = [], []
-            for t in texts(b.column(1)):
-                words = words_of(t)
-                if not words or not model.langs:
+            found = [_WORD.findall(t.lower()) for t in texts(b.column(1))]
+            memo.learn(set().union(*found))
+            for words in found:
+                places = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+                n = int(np.count_nonzero(places))
+                if not n or not model.langs:
                     names.append("und"), scores.append(0.0)
                     continue
-                if memo.full():
-                    memo = _Memo(model)
-                z = mean(words, memo) * min(len(words), 30)
+                z = sum(memo.table[places[at : at + 50_000]].sum(0, dtype=np.float64) for at in range(0, len(places), 50_000)) / n * min(n, 30)
                 z = np.exp(z - z.max())
                 k = int(z.argmax())
                 names.append(model.langs[k]), scores.append(float(z[k] / z.sum()))

@@ -178,8 +178,10 @@ def test_no_language_and_no_word_is_lost(spark):
     assert got == {i: lang for i, _, lang, _, _ in many}
 
 
-def test_language_model_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 20_000_000])
+def test_language_model_equals_brute_force(spark, monkeypatch, dense):
     monkeypatch.setattr(langid, "BROADCAST_LANGS", 1)
+    monkeypatch.setattr(langid, "_DENSE", dense)
     rnd = random.Random(7)
     say = lambda abc: " ".join("".join(rnd.choice(abc) for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(1, 12)))
     rows = [(k, say(abc), lang, None, None) for k, (lang, abc) in enumerate([("en", "abcd"), ("fr", "bcdé"), ("de", "cdü")] * 40)]
@@ -204,7 +206,7 @@ def test_language_model_equals_brute_force(spark, monkeypatch):
         return [0.0] * len(counts)
 
     for w in ["abc", "zzz", *sorted({w for r in rows for w in r[1].split()})[:80]]:
-        assert np.allclose(model.vector(w), vector(w), atol=1e-4), w
+        assert np.allclose(model.vectors([w])[0], vector(w), atol=1e-4), w
 
 
 def xx(k):
