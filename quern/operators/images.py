@@ -108,3 +108,60 @@ def page_splits(pages: DataFrame, *, key: str = "page", pixels: str = "pixels",
             yield pd.DataFrame(out, columns=[key, "rule", "gutter", "width"])
 
     return pages.select(key, pixels, width).mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, rule int, gutter int, width int")
+
+
+def rotated(gray: np.ndarray, degrees: float) -> np.ndarray:
+    """The page turned about its middle, nearest pixel, white where nothing was."""
+    h, w = gray.shape
+    turn, y, x = np.deg2rad(degrees), *np.indices((h, w))
+    dy, dx = y - (h - 1) / 2, x - (w - 1) / 2
+    sy = np.rint(dy * np.cos(turn) - dx * np.sin(turn) + (h - 1) / 2).astype(int)
+    sx = np.rint(dy * np.sin(turn) + dx * np.cos(turn) + (w - 1) / 2).astype(int)
+    inside = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
+    out = np.full_like(gray, 255)
+    out[inside] = gray[sy[inside], sx[inside]]
+    return out
+
+
+def _pages(pages: DataFrame, key: str, pixels: str, width: str, of: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """``of``'s rows for each page of raw grey pixels, with its key."""
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *r) for k, data, w in zip(f[key], f[pixels], f[width]) for r in of(np.frombuffer(data, np.uint8).reshape(-1, w))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select(key, pixels, width).mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, {schema}")
+
+
+def straightened(pages: DataFrame, *, key: str = "page", pixels: str = "pixels", width: str = "width") -> DataFrame:
+    """(page, angle, pixels, width): each page turned by the angle that makes its rule upright."""
+
+    def one(gray: np.ndarray) -> list[tuple]:
+        angle = best_angle(lambda a: rotated(gray, a))
+        return [(angle, (rotated(gray, angle) if angle else gray).tobytes(), gray.shape[1])]
+
+    return _pages(pages, key, pixels, width, one, "angle double, pixels binary, width int")
+
+
+def page_columns(pages: DataFrame, *, key: str = "page", pixels: str = "pixels", width: str = "width") -> DataFrame:
+    """(page, part, pixels, width, height): the two columns of each page, by ``column_boxes``."""
+
+    def one(gray: np.ndarray) -> list[tuple]:
+        boxes = column_boxes(gray.shape[1], gray.shape[0])
+        return [(k, gray[top:bottom, left:right].tobytes(), right - left, bottom - top) for k, (left, top, right, bottom) in enumerate(boxes)]
+
+    return _pages(pages, key, pixels, width, one, "part int, pixels binary, width int, height int")
+
+
+def stitched_pages(strips: DataFrame, *, key: str = "page", place: str = "pos", pixels: str = "pixels", width: str = "width") -> DataFrame:
+    """(page, pixels, width, height): each page's strips (raw grey pixels) in order, one above the other."""
+    kind = strips.schema[key].dataType.simpleString()
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(place)
+        page = stitched([np.frombuffer(d, np.uint8).reshape(-1, w) for d, w in zip(f[pixels], f[width])])
+        return pd.DataFrame([(f[key].iloc[0], page.tobytes(), page.shape[1], page.shape[0])], columns=[key, "pixels", "width", "height"])
+
+    return strips.select(key, place, pixels, width).groupBy(key).applyInPandas(run, f"`{key}` {kind}, pixels binary, width int, height int")

@@ -171,6 +171,11 @@ def ladder(attempts: DataFrame, keys: list[str], *, seq: str = "seq", right: str
     return folded.select(*keys, "s.step", "s.due", "s.done")
 
 
+def from_submitted(attempts: DataFrame, submissions: DataFrame, keys: list[str]) -> DataFrame:
+    """Attempts of sheets that were submitted; answers of an open sheet never reach the ladder."""
+    return attempts.join(submissions.select(*keys), keys, "left_semi")
+
+
 def due_queue(items: DataFrame, now: Column, user: str) -> DataFrame:
     """For each user how many items are due, and the first of them."""
     return items.filter((F.col("due") <= now) & ~F.col("done")).groupBy(user).agg(F.count("*").alias("n_due"), F.min_by("item", F.struct("due", "item")).alias("first_item"))

@@ -53,9 +53,53 @@ def stream_ladder(spark, sf_dir):
     return _latest(_finished(st.mistake_ladder(attempts), "update", "ladder"), "user_id", "item")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_day_totals, stream_run_streaks, stream_ladder)}
-
+def stream_cleared(spark, sf_dir):
+    """The ladder with items that are cleared by hand: a signup clears the item of its value."""
+    rows = _stream(spark, sf_dir).filter("event_type in ('purchase', 'error', 'signup')")
+    right = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False)
+    attempts = rows.select("user_id", (F.floor("value").cast("int") % 5).alias("item"), "ts", "event_id", right.alias("right"))
+    return _latest(_finished(st.mistake_ladder(attempts, seq="event_id"), "update", "cleared"), "user_id", "item")
+
+
+def stream_sittings(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "submit").otherwise("answer")
+    rows = _stream(spark, sf_dir).select("user_id", "ts", kind.alias("kind"))
+    return _finished(st.sittings(rows, minutes=7200), "append", "sittings").drop("epoch")
+
+
+def stream_mirror(spark, sf_dir):
+    """The latest totals by kind, read from the snapshot that the stream writes."""
+    path, checkpoint = sinks.shared_folder(spark, "mirror"), sinks.shared_folder(spark, "mirror-state")
+    totals = _stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    st.mirrored(totals, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return sinks.restored(spark, path, "event_type string, n long")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_day_totals, stream_run_streaks, stream_ladder, stream_cleared, stream_sittings, stream_mirror)}
+
+_CLEARED = (
+    events._LADDER.replace("'step': CASE WHEN NOT x.r", "'step': CASE WHEN x.r IS NULL THEN a.step WHEN NOT x.r").replace("'due': CASE WHEN NOT x.r", "'due': CASE WHEN x.r IS NULL THEN CASE WHEN a.step IS NULL THEN a.due END WHEN NOT x.r")
+    .replace("'done': CASE WHEN NOT x.r", "'done': CASE WHEN x.r IS NULL THEN a.step IS NOT NULL OR a.done WHEN NOT x.r").replace("{'r': event_type = 'purchase',", "{'r': CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END,")
+    .replace("IN ('purchase', 'error')", "IN ('purchase', 'error', 'signup')")
+)
+_LIMIT = "a.start + INTERVAL 7200 MINUTES"
+_CLOSED = "list_append(a.out, {{'start': a.start, 'submitted': {}, 'answers': a.answers}})"
+#: Sittings as a fold: before each event an open sitting is held against the limit. One that is open at the end is out once the watermark has passed its limit.
+_SITTINGS = f"""WITH e AS (SELECT user_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'submit' ELSE 'answer' END AS kind FROM events),
+    two AS (SELECT user_id, ts, kind AS b, part, CASE part WHEN 0 THEN 'tick' ELSE kind END AS kind FROM e, (VALUES (0), (1)) q(part)),
+    log AS (SELECT user_id, list({{'t': ts, 'k': kind, 'start': NULL::TIMESTAMP, 'answers': 0, 'out': []::STRUCT("start" TIMESTAMP, submitted TIMESTAMP, answers INTEGER)[]}} ORDER BY ts, b DESC, part) AS log FROM two GROUP BY user_id),
+    f AS (SELECT user_id, list_reduce(log, lambda a, x: {{'t': x.t, 'k': x.k,
+        'start': CASE WHEN x.k = 'tick' THEN CASE WHEN x.t > {_LIMIT} THEN NULL ELSE a.start END WHEN x.k = 'start' THEN coalesce(a.start, x.t) WHEN x.k = 'submit' THEN NULL ELSE a.start END,
+        'answers': CASE WHEN x.k = 'tick' THEN CASE WHEN x.t > {_LIMIT} THEN 0 ELSE a.answers END WHEN x.k = 'answer' AND a.start IS NOT NULL THEN a.answers + 1 WHEN x.k = 'submit' THEN 0 WHEN x.k = 'start' AND a.start IS NULL THEN 0 ELSE a.answers END,
+        'out': CASE WHEN x.k = 'tick' AND x.t > {_LIMIT} THEN {_CLOSED.format(_LIMIT)} WHEN x.k = 'submit' AND a.start IS NOT NULL THEN {_CLOSED.format("x.t")} ELSE a.out END}},
+        {{'t': NULL::TIMESTAMP, 'k': NULL::VARCHAR, 'start': NULL::TIMESTAMP, 'answers': 0, 'out': []::STRUCT("start" TIMESTAMP, submitted TIMESTAMP, answers INTEGER)[]}}) AS a FROM log),
+    o AS (SELECT user_id, unnest(a.out) AS s FROM f UNION ALL
+      SELECT user_id, {{'start': a.start, 'submitted': {_LIMIT}, 'answers': a.answers}} FROM f WHERE {_LIMIT} <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events))
+    SELECT user_id, s.start AS start, s.submitted AS submitted, s.answers AS answers FROM o"""
 ORACLE_SQL = {
+    "stream_cleared": f"SELECT user_id, item, s.step AS step, s.due AS due, s.done AS done FROM ({_CLEARED}) WHERE s.step IS NOT NULL",
+    "stream_sittings": _SITTINGS,
+    "stream_mirror": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "stream_ladder": events.ORACLE_SQL["mistake_ladder"],
     "stream_day_totals": "SELECT ts::DATE AS day, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL",
     "stream_run_streaks": """SELECT user_id, count(CASE WHEN event_type = 'purchase' AND ts > last THEN 1 END)::INT AS streak, count(CASE WHEN event_type = 'purchase' THEN 1 END)::INT AS done,

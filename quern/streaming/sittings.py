@@ -39,7 +39,7 @@ def sittings(events: DataFrame, *, user: str = "user_id", ts: str = "ts", kind:
         if state.hasTimedOut:
             close(start + limit)
         else:
-            rows = pd.concat(list(frames)).sort_values([ts, kind], ascending=[True, False])
+            rows = pd.concat(list(frames)).sort_values([ts, kind], ascending=[True, False])  # of one instant: submit, start, answer
             for t, k in zip(rows[ts], rows[kind]):
                 t = t.to_pydatetime()
                 if start is not None and t > start + limit:
@@ -64,17 +64,24 @@ def sittings(events: DataFrame, *, user: str = "user_id", ts: str = "ts", kind:
     )
 
 
-def mistake_ladder(attempts: DataFrame, *, user: str = "user_id", item: str = "item", ts: str = "ts", right: str = "right") -> DataFrame:
+def _in_order(frames: Iterator[pd.DataFrame], ts: str, seq: str | None) -> pd.DataFrame:
+    """A batch's rows by time; of one instant by ``seq``, or else by their other values, so that the order is the same in any run."""
+    rows = pd.concat(list(frames))
+    return rows.sort_values([ts, *([seq] if seq else [c for c in rows.columns if c != ts])], kind="stable")
+
+
+def mistake_ladder(attempts: DataFrame, *, user: str = "user_id", item: str = "item", ts: str = "ts", right: str = "right", seq: str | None = None) -> DataFrame:
     """(user, item, step, due, done) after each batch in which an item's state changed.
 
-    Rows are attempts of submitted papers. A null ``right`` clears the item by hand.
+    Rows are attempts of submitted papers. A null ``right`` clears the item by hand. State is three values for each item that
+    was ever wrong and is kept; a row that comes after a later one of its item is taken as it comes.
     """
     types = [attempts.schema[c].dataType.simpleString() for c in (user, item)]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, due, done = state.get if state.exists else (-1, None, False)
         before = (now, due, done)
-        rows = pd.concat(list(frames)).sort_values(ts)
+        rows = _in_order(frames, ts, seq)
         for t, ok in zip(rows[ts], rows[right]):
             if ok is None or pd.isna(ok):
                 now, due, done = (now, None, True) if now >= 0 else (now, due, done)
@@ -95,13 +102,13 @@ def mistake_ladder(attempts: DataFrame, *, user: str = "user_id", item: str = "i
     )
 
 
-def run_streaks(runs: DataFrame, *, user: str = "user_id", ts: str = "ts", kind: str = "kind") -> DataFrame:
+def run_streaks(runs: DataFrame, *, user: str = "user_id", ts: str = "ts", kind: str = "kind", seq: str | None = None) -> DataFrame:
     """(user, streak, done, voided) after each batch: done runs add to the streak, others zero it."""
     kind_of = runs.schema[user].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, done, voided = state.get if state.exists else (0, 0, 0)
-        for k in pd.concat(list(frames)).sort_values(ts)[kind]:
+        for k in _in_order(frames, ts, seq)[kind]:
             streak, done, voided = (streak + 1, done + 1, voided) if k == "done" else (0, done, voided + 1)
         state.update((streak, done, voided))
         yield pd.DataFrame([(key[0], streak, done, voided)], columns=[user, "streak", "done", "voided"])
