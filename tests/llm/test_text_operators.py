@@ -101,11 +101,44 @@ def test_licences_equal_a_scan(spark):
 
 
 def test_licence_key_phrases():
-    number, templates = licenses.build()
-    got = licenses.scan([b"Redistribution and use in source and binary forms", b"Redistribution and use in source and binary forms, provided that the following conditions are met:"], number, templates)
+    got = licenses.scan([b"Redistribution and use in source and binary forms", b"Redistribution and use in source and binary forms, provided that the following conditions are met:"], licenses.build())
     assert [g[5] for g in got] == ["", "bsd"]
 
 
+def brute_coverage(template, words, rare):
+    """The share of a text's words within the drift of their place, by trying every start that a rare word gives."""
+    best = 0
+    for k in rare:
+        for start in (p - k for p, w in enumerate(words) if w == template[k]):
+            best = max(best, sum(template[j] in words[max(0, start + j - licenses.DRIFT) : max(0, start + j + licenses.DRIFT + 1)] for j in range(len(template))))
+    return best / len(template)
+
+
+def test_whole_licences_with_changes():
+    rnd, index = random.Random(6), licenses.build()
+    from quern.llm.license_texts import TEXTS
+
+    made = []
+    for label, text, _ in TEXTS:
+        words = text.split()
+        for share in (0.0, 0.1, 0.3, 0.5):
+            changed = [w if rnd.random() >= share else rnd.choice(("", "other", "two more")) for w in words]
+            made.append((label, " ".join(["some code"] * rnd.randint(0, 40) + changed + ["tail"] * rnd.randint(0, 9))))
+    got = licenses.scan([t.encode() for _, t in made], index)
+    for (label, t), row in zip(made, got):
+        words = licenses.fold_words(t)
+        joined = b" " + b" ".join(words) + b" "
+        want = {}
+        for whole, (lab, _, keys) in zip(index.wholes, TEXTS):
+            if all(b" " + k.encode() + b" " in joined for k in keys) and (c := brute_coverage(whole.words, words, whole.anchors)) >= licenses.COVERED:
+                want[lab] = c
+        phrases = set(licenses.scan([t.encode()], licenses.Index(index.number, index.templates, [], {}))[0][5].split(",")) - {""}
+        assert set(row[5].split(",")) - {""} == phrases | want.keys()
+        assert row[6] >= max(want.values(), default=0)
+    clean = [row for k, row in enumerate(got) if k % 4 == 0]
+    assert all(label in row[5].split(",") and row[6] == 1 for (label, _), row in zip(made[::4], clean))
+
+
 # --- rules --------------------------------------------------------------------------------------
 
 
