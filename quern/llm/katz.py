@@ -17,25 +17,31 @@ few large binary rows:
   meet in the partition of the first token.
 * Sums come back by chunk.
 
-Tokens are told apart by 64 bits of XXH64 (48 bits as first token). Very frequent tokens,
-found in a sample that only decides on placement, are spread over all partitions by first token.
+Tokens are told apart by 64 bits of XXH64 (48 bits as first token). Very frequent tokens and bigrams,
+found in a sample that only decides on placement, are spread over all partitions: a token's bigrams by first token, a
+bigram's occurrences by chunk, its partial counts meeting in the one row of totals. The sample also gives the
+number of partitions, so that each holds about ``PART_TOKENS`` tokens whatever the input.
+
+``katz_tables`` has the same model of any order over stored tables.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, raw_texts, slices
+from quern.llm.common import crc_mod, raw_texts, slices, written
 
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
 TOP = 5  # counts above are not discounted
 HOT_SHARE, HOT_SAMPLE = 0.25, 0.01
+PART_TOKENS = 2_600_000
 _END, _START = b"\n</s>", b"\n<s>"
 _LOW48 = np.uint64((1 << 48) - 1)
 PAIRS, DOCS, SUMS, FIRST, FIX = range(5)
@@ -92,21 +98,44 @@ def discounts(n: np.ndarray, top: int = TOP) -> np.ndarray:
     return d
 
 
+@dataclass
+class Hot:
+    """Hashes, sorted, of frequent tokens, and of frequent bigrams by ``pair_id``; the second token of each is among the tokens."""
+
+    tokens: np.ndarray
+    pairs: np.ndarray
+
+
+def pair_id(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A hash of a bigram from the hashes of its second token and of its first (48 bits)."""
+    return (w ^ (w >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + v * np.uint64(0x94D049BB133111EB)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted ``known``, and where."""
+    at = np.searchsorted(known, values)
+    return ((at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == values)) if len(known) else np.zeros(len(values), bool), at
+
+
 class Stats:
     """Totals that every partition needs, from (what, value) rows."""
 
-    def __init__(self, what: list[int], value: list[int], hot: np.ndarray):
+    def __init__(self, what: list[int], value: list[int], hot: Hot):
         got = dict(zip(what, value))
         self.docs = got.get(0, 0)
-        self.hot = hot
-        self.hot_count = np.array([got.get(100 + k, 0) for k in range(len(hot))], np.int64)
+        self.hot_count = np.array([got.get(100 + k, 0) for k in range(len(hot.tokens))], np.int64)
+        self.pair_count = np.array([got.get(1_000_000 + k, 0) for k in range(len(hot.pairs))], np.int64)
         uni = np.array([0, *(got.get(10 + r, 0) for r in range(1, TOP + 2))], np.int64)
         for c in self.hot_count:
             if 0 < c <= TOP + 1:
                 uni[c] += 1
         self.tokens = got.get(1, 0) + int(self.hot_count.sum())
         self.types = got.get(2, 0) + int((self.hot_count > 0).sum())
-        self.d1, self.d2 = discounts(uni), discounts([0, *(got.get(20 + r, 0) for r in range(1, TOP + 2))])
+        bi = np.array([0, *(got.get(20 + r, 0) for r in range(1, TOP + 2))], np.int64)
+        for c in self.pair_count:
+            if 0 < c <= TOP + 1:
+                bi[c] += 1
+        self.d1, self.d2 = discounts(uni), discounts(bi)
         # counts above TOP keep their share; below, each count of counts loses what its discount takes
         left = sum(float(uni[r]) * r * (1 - self.d1[r]) for r in range(1, TOP + 1))
         n = max(self.tokens, 1)
@@ -124,10 +153,11 @@ def _bucket(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, flat: np.ndarray, sizes: np.ndarray, words: list[bytes], hot: np.ndarray, parts: int) -> list[tuple]:
+def chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, flat: np.ndarray, sizes: np.ndarray, words: list[bytes], hot: Hot, parts: int) -> list[tuple]:
     """A chunk's rows: its documents, and its bigrams for each partition.
 
-    ``flat``: word numbers, each document's followed by that of the end token.
+    ``flat``: word numbers, each document's followed by that of the end token. Documents are numbered with those to learn from
+    first, so a row says which are held out by one number.
     """
     h = hashes(words)
     start = int(flat.max()) + 1 if len(flat) else 0
@@ -139,14 +169,22 @@ def chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, flat: np.ndarray, si
     first[1:] = flat[:-1]
     first[np.cumsum(sizes) - sizes] = start
     dest = _bucket(h, parts)[flat].astype(np.int64)
-    if len(hot):
-        spread = np.isin(h, hot)[flat]
-        dest[spread] = _bucket((h[flat[spread]] ^ (h[first[spread]] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD1342543DE82EF95), parts)
+    if len(hot.tokens):
+        spread = np.flatnonzero(np.isin(h, hot.tokens)[flat])
+        mixed = (h[flat[spread]] ^ (h[first[spread]] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD1342543DE82EF95)
+        if len(hot.pairs):
+            by_chunk = np.isin(pair_id(h[flat[spread]], h[first[spread]] & _LOW48), hot.pairs)
+            turned = mixed[by_chunk] + np.uint64((chunk * 0x9E3779B97F4A7C15) & (2**64 - 1))
+            mixed[by_chunk] = (turned ^ (turned >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        dest[spread] = _bucket(mixed, parts)
     n = len(h)
     key = (dest * n + rank[flat]) * n + rank[first]
     del dest, first
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
+    by_use = np.argsort(held, kind="stable")
+    number = np.empty(len(sizes), np.uint16)
+    number[by_use] = np.arange(len(sizes))
+    key, doc = key[order], np.repeat(number, sizes)[order]
     del order
     pair = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     many = np.diff(np.r_[pair, len(key)])
@@ -156,7 +194,8 @@ def chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, flat: np.ndarray, si
     wcut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     wn = np.diff(np.r_[wcut, len(k)])
     w, wdest = h[by[k[wcut] % n]], k[wcut] // n
-    flags = np.packbits(held)
+    held, sizes, ids = held[by_use], sizes[by_use], ids.take(pa.array(by_use))
+    use = np.array([len(sizes), int((~held).sum())], np.int64)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("k", ids.type)])) as out:
         out.write_batch(pa.RecordBatch.from_arrays([ids], names=["k"]))
@@ -166,40 +205,40 @@ def chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, flat: np.ndarray, si
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         p, q = pair_at[a], pair_at[b]
         mine = doc[place_at[p] : place_at[q]]
-        rows.append((int(wdest[a]), chunk, PAIRS, pack(w[a:b], wn[a:b].astype(np.uint32), (v[p:q] >> np.uint64(16)).astype(np.uint32), (v[p:q] & np.uint64(0xFFFF)).astype(np.uint16), many[p:q].astype(np.uint32), mine, np.array([len(sizes)], np.int64), flags)))
+        rows.append((int(wdest[a]), chunk, PAIRS, pack(w[a:b], wn[a:b].astype(np.uint32), (v[p:q] >> np.uint64(16)).astype(np.uint32), (v[p:q] & np.uint64(0xFFFF)).astype(np.uint16), many[p:q].astype(np.uint32), mine, use)))
     return rows
 
 
 class Part:
     """The bigrams of one partition, from all chunks."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], hot: np.ndarray):
+    def __init__(self, rows: list[tuple[int, bytes]], hot: Hot):
         ws, vs, many, self.docs, self.of, train = [], [], [], [], [], []
         for chunk, blob in rows:
-            w, wn, hi, lo, m, doc, size, flags = unpack(blob, np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint16, np.int64, np.uint8)
-            held = np.unpackbits(flags, count=int(size[0])).astype(bool)
+            w, wn, hi, lo, m, doc, use = unpack(blob, np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint16, np.int64)
+            size, learnt = use.tolist()
             ws.append(np.repeat(w, wn)), vs.append((hi.astype(np.uint64) << np.uint64(16)) | lo), many.append(m)
-            train.append(np.add.reduceat((~held)[doc].astype(np.int64), np.cumsum(m, dtype=np.int64) - m))
-            self.docs.append(doc), self.of.append((chunk, len(m), len(held), held))
+            train.append(np.add.reduceat((doc < learnt).astype(np.int64), np.cumsum(m, dtype=np.int64) - m))
+            self.docs.append(doc), self.of.append((chunk, len(m), size, learnt))
         w, v, train = np.concatenate(ws), np.concatenate(vs), np.concatenate(train)
         del ws, vs
         self.many = many
-        mixed = (w ^ (w >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + v * np.uint64(0x94D049BB133111EB)
-        _, at, self.pair = np.unique(mixed, return_index=True, return_inverse=True)
+        mixed = pair_id(w, v)
+        found, at, self.pair = np.unique(mixed, return_index=True, return_inverse=True)
         self.c2 = np.bincount(self.pair, train, len(at)).astype(np.int64)
         self.v = v[at]
         self.words, self.word_of_pair = np.unique(w[at], return_inverse=True)
         self.c1 = np.bincount(self.word_of_pair, self.c2, len(self.words)).astype(np.int64)
-        spot = np.searchsorted(hot, self.words)
-        self.is_hot = (spot < len(hot)) & (hot[np.minimum(spot, max(len(hot) - 1, 0))] == self.words) if len(hot) else np.zeros(len(self.words), bool)
-        self.hot_at = spot
+        self.is_hot, self.hot_at = _among(self.words, hot.tokens)
+        self.pair_hot, self.pair_at = _among(found, hot.pairs)
 
     def stats(self) -> list[tuple[int, int]]:
-        """Partial totals; of hot tokens only their bigrams' and their own counts."""
-        c1, out = self.c1[~self.is_hot], []
+        """Partial totals; of hot tokens and bigrams only their own counts."""
+        c1, c2, out = self.c1[~self.is_hot], self.c2[~self.pair_hot], []
         out += [(1, int(c1.sum())), (2, int((c1 > 0).sum()))]
         for r in range(1, TOP + 2):
-            out += [(10 + r, int((c1 == r).sum())), (20 + r, int((self.c2 == r).sum()))]
+            out += [(10 + r, int((c1 == r).sum())), (20 + r, int((c2 == r).sum()))]
+        out += [(1_000_000 + int(k), int(c)) for k, c in zip(self.pair_at[self.pair_hot], self.c2[self.pair_hot])]
         return out + [(100 + int(k), int(c)) for k, c in zip(self.hot_at[self.is_hot], self.c1[self.is_hot])]
 
     def solve(self, s: Stats, parts: int, end: int) -> list[tuple]:
@@ -207,7 +246,9 @@ class Part:
         c1 = self.c1.copy()
         c1[self.is_hot] = s.hot_count[self.hot_at[self.is_hot]]
         p1 = s.p1(c1)
-        base, c2 = s.base(c1), self.c2
+        base, c2 = s.base(c1), self.c2.copy()
+        c2[self.pair_hot] = s.pair_count[self.pair_at[self.pair_hot]]
+        mine = np.divide(self.c2, c2, out=np.zeros(len(c2)), where=c2 > 0)  # share of a bigram's count that is here
         context = np.where((c1 > 0) & (self.words != np.uint64(end)), -np.log10(c1 + 0.5), 0.0)
         seen = c2 > 0
         d2c = s.d2[np.minimum(c2, TOP + 1)] * c2
@@ -215,10 +256,10 @@ class Part:
             score = np.where(seen, np.log10(d2c), np.log10(p1)[self.word_of_pair]) + context[self.word_of_pair]
         base, known = base[self.word_of_pair], (c1 > 0)[self.word_of_pair]
         rows, asks, begin = [], [], 0
-        for (chunk, n, size, held), doc, many in zip(self.of, self.docs, self.many):
+        for (chunk, n, size, learnt), doc, many in zip(self.of, self.docs, self.many):
             pair = np.repeat(self.pair[begin : begin + n], many)
             begin += n
-            open_ = held[doc]
+            open_ = doc >= learnt
             here = np.flatnonzero(np.bincount(doc, minlength=size))
             sums = (np.bincount(doc, base[pair], size)[here], np.bincount(doc, score[pair], size)[here], np.bincount(doc[open_], known[pair[open_]], size)[here].astype(np.uint32))
             rows.append((chunk % parts, chunk, SUMS, pack(np.array([s.tokens, s.docs], np.int64), here.astype(np.uint16), *sums)))
@@ -226,7 +267,7 @@ class Part:
             lost = lost[~seen[pair[lost]]]
             if len(lost):
                 asks.append((chunk, self.v[pair[lost]], doc[lost]))
-        left, mass = np.where(seen, c2 - d2c, 0.0), np.where(seen, p1[self.word_of_pair], 0.0)
+        left, mass = np.where(seen, c2 - d2c, 0.0) * mine, np.where(seen, p1[self.word_of_pair], 0.0) * mine
         firsts, of = np.unique(self.v[seen], return_inverse=True)
         left, mass = np.bincount(of, left[seen], len(firsts)), np.bincount(of, mass[seen], len(firsts))
         return rows + _to_first(firsts, left, mass, asks, parts)
@@ -294,23 +335,33 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str = "dest") -> Iterator[tu
         yield now, held
 
 
-def hot_tokens(docs: DataFrame, text: str, parts: int) -> np.ndarray:
-    """Hashes, sorted, of tokens whose share in a sample is over a quarter of a partition's; this decides placement only."""
+def placement(docs: DataFrame, text: str, parts: int | None) -> tuple[Hot, int]:
+    """Frequent tokens and bigrams, and the number of partitions, from a sample; they decide on placement only.
+
+    Frequent: a share over a quarter of a partition's. Each task of the sample sends what makes up a fifty-thousandth of its tokens.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = Counter(), 0
         for b in slices(batches, 500):
             for raw in raw_texts(b.column(0)):
                 ws = raw.lower().split()
+                ws.append(_END)
                 seen.update(ws)
-                seen[_END] += 1
-                n += len(ws) + 1
-        found = [(w, c) for w, c in seen.items() if c * 2 * parts >= HOT_SHARE * n] + [(b"", n)]
+                seen.update(b" ".join(p) for p in zip([_START, *ws], ws))  # no word holds a blank
+                n += len(ws)
+        found = [(w, c) for w, c in seen.items() if c * 50_000 >= n and c > 1] + [(b"", n)]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.int64())], names=["w", "c"])
 
-    rows = docs.select(text).sample(False, HOT_SAMPLE, 3).mapInArrow(count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc()).limit(4 * int(parts / HOT_SHARE)).collect()
-    n = next((r.c for r in rows if not r.w), 0)
-    return np.sort(hashes([bytes(r.w) for r in rows if r.w and r.c * parts >= HOT_SHARE * n]))
+    counted = docs.select(text).sample(False, HOT_SAMPLE, 3).mapInArrow(count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    counted = written(counted, "katz-sample")
+    total = counted.filter(F.octet_length("w") == 0).agg(F.sum("c").alias("n")).first().n or 0
+    parts = parts or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total / HOT_SAMPLE) // PART_TOKENS))
+    rows = counted.filter((F.octet_length("w") > 0) & (F.col("c") * parts >= HOT_SHARE * total)).orderBy(F.col("c").desc(), "w").limit(8 * int(parts / HOT_SHARE)).collect()
+    pairs = [bytes(r.w).split(b" ") for r in rows if b" " in bytes(r.w)]
+    tokens = sorted({bytes(r.w) for r in rows if b" " not in bytes(r.w)} | {w for _, w in pairs})
+    ids = pair_id(hashes([w for _, w in pairs]), hashes([v for v, _ in pairs]) & _LOW48) if pairs else np.zeros(0, np.uint64)
+    return Hot(np.sort(hashes(tokens)), np.sort(ids)), parts
 
 
 def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: Column | None = None, parts: int | None = None) -> DataFrame:
@@ -320,9 +371,8 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out
     A null text has one token, the end; a null key counts as the empty text and is
     kept; repeated rows count each. Nothing to learn from: every score is 0.
     """
-    parts = parts or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     held_out = crc_mod(key, 10) == 0 if held_out is None else held_out
-    hot = hot_tokens(docs, text, parts)
+    hot, parts = placement(docs, text, parts)
     end = int(hashes([_END])[0])
     frame = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), held_out.alias("h"))
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from quern.llm import decontam, katz, mixing, simhash
+from quern.llm import decontam, katz, katz_tables, mixing, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 997}" for k in range(20_000))
@@ -132,33 +132,37 @@ def test_near_duplicates_odd_rows(spark):
 # --- language-model scores ----------------------------------------------------------------------
 
 
-def brute_scores(rows):
+def brute_scores(rows, order=2):
     toks = [(k, (t or "").encode().lower().split() + ["</s>"]) for k, t, *_ in rows]
     held = [zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0 for k, _ in toks]
-    c1 = Counter(w for (_, t), h in zip(toks, held) if not h for w in t)
-    c2 = Counter(p for (_, t), h in zip(toks, held) if not h for p in zip(["<s>", *t], t))
+    grams = lambda t, k: list(zip(*(([*["<s>"] * (k - 1), *t])[i:] for i in range(k))))
+    c = {k: Counter(g for (_, t), h in zip(toks, held) if not h for g in grams(t, k)) for k in range(1, order + 1)}
+    c1 = Counter({g[0]: n for g, n in c[1].items()})
     n, v = sum(c1.values()), len(c1)
-    d1, d2 = (katz.discounts([0] + [sum(x == r for x in c.values()) for r in range(1, 7)]) for c in (c1, c2))
-    left = sum((1 - d1[min(c, 6)]) * c for c in c1.values())
+    d = {k: katz.discounts([0] + [sum(x == r for x in c[k].values()) for r in range(1, 7)]) for k in c}
+    left = sum((1 - d[1][min(x, 6)]) * x for x in c1.values())
     scale = 1.0 if left >= 0.5 else n / (n + 0.5) if n else 1.0
-    seen = {w: scale * d1[min(c, 6)] * c / n for w, c in c1.items()}
+    seen = {w: scale * d[1][min(x, 6)] * x / n for w, x in c1.items()}
     unknown = 1 - sum(seen.values())
     ctx, kept, mass = Counter(), Counter(), Counter()
-    for (a, b), c in c2.items():
-        ctx[a] += c
-        kept[a] += d2[min(c, 6)] * c
-        mass[a] += seen[b]
-
-    def p(a, b):
-        if c2[a, b]:
-            return d2[min(c2[a, b], 6)] * c2[a, b] / (ctx[a] + 0.5)
-        one = seen.get(b, unknown)
-        return (ctx[a] - kept[a] + 0.5) / (ctx[a] + 0.5) / (1 - mass[a]) * one if ctx[a] else one
 
+    def p(*g):
+        if len(g) == 1:
+            return seen.get(g[0], unknown)
+        a = g[:-1]
+        if c[len(g)][g]:
+            return d[len(g)][min(c[len(g)][g], 6)] * c[len(g)][g] / (ctx[a] + 0.5)
+        return (ctx[a] - kept[a] + 0.5) / (ctx[a] + 0.5) / (1 - mass[a]) * p(*g[1:]) if ctx[a] else p(*g[1:])
+
+    for k in range(2, order + 1):
+        for g, x in c[k].items():
+            ctx[g[:-1]] += x
+            kept[g[:-1]] += d[k][min(x, 6)] * x
+            mass[g[:-1]] += p(*g[1:])
     out = []
     for (k, t), h in zip(toks, held):
         base = sum(math.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        out.append((k, h, len(t), sum(c1[w] > 0 for w in t), n, base, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t))))
+        out.append((k, h, len(t), sum(c1[w] > 0 for w in t), n, base, sum(math.log10(p(*g)) for g in grams(t, order))))
     return out, p, [*c1, "no such word"], list(ctx)
 
 
@@ -177,15 +181,38 @@ def test_scores_equal_brute_force(spark, monkeypatch, seed, words):
     want, p, vocabulary, contexts = brute_scores(rows)
     same(katz.scored(docs(spark, rows)).collect(), want)
     for a in contexts[:40]:
-        assert sum(p(a, b) for b in vocabulary) == pytest.approx(1)
+        assert sum(p(*a, b) for b in vocabulary) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_stored_tables_equal_brute_force(spark, order):
+    rows = corpus(12, 120, words=25) + ODD
+    want, p, vocabulary, contexts = brute_scores(rows, order)
+    same(katz_tables.scored(docs(spark, rows), order=order).collect(), want)
+    for a in contexts[:20]:
+        assert sum(p(*a, b) for b in vocabulary) == pytest.approx(1)
+    assert katz_tables.scored(docs(spark, []), order=order).count() == 0
 
 
 def test_hot_tokens_only_move_work(spark, monkeypatch):
     rows = corpus(4, 150, words=8)
     want = brute_scores(rows)[0]
-    hot = np.sort(katz.hashes([katz._END, *sorted({w for r in rows for w in r[1].encode().split()})[:4]]))
-    monkeypatch.setattr(katz, "hot_tokens", lambda *a: hot)
-    same(katz.scored(docs(spark, rows), parts=7).collect(), want)
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 200)
+    words = sorted({w for r in rows for w in r[1].encode().split()})[:4]
+    pairs = [(v, w) for v in (katz._START, *words) for w in (*words[:2], katz._END)]
+    ids = katz.pair_id(katz.hashes([w for _, w in pairs]), katz.hashes([v for v, _ in pairs]) & katz._LOW48)
+    hot = katz.Hot(np.sort(katz.hashes([katz._END, *words])), np.sort(ids))
+    monkeypatch.setattr(katz, "placement", lambda *a: (hot, 7))
+    same(katz.scored(docs(spark, rows)).collect(), want)
+
+
+def test_placement_finds_what_is_frequent(spark, monkeypatch):
+    monkeypatch.setattr(katz, "HOT_SAMPLE", 0.999)
+    monkeypatch.setattr(katz, "PART_TOKENS", 100)
+    rows = [(k, f"x{k} very often y{k}", "en", "s", 1) for k in range(400)]
+    hot, parts = katz.placement(docs(spark, rows), "text", None)
+    assert parts >= 19 and set(katz.hashes([b"very", b"often", katz._END])) <= set(hot.tokens)
+    assert katz.pair_id(katz.hashes([b"often"]), katz.hashes([b"very"]) & katz._LOW48)[0] in hot.pairs
 
 
 def test_scores_without_training_rows(spark):
