@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_name, raw_texts, slices, written
+from quern.llm.common import free_name, raw_texts, row_identity, slices, written
 
 NEAR, WORDS, ROUTE_ROWS, LEVELS = 4, 4, 50_000, 3
 LEAF = 16
@@ -214,14 +214,14 @@ def components(edges: DataFrame) -> DataFrame:
 def fingerprinted(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_key, fp (the fingerprint's bits as a long) for each row."""
     kind = docs.schema[key].dataType.simpleString()
-    frame = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row_key"), F.col(text).alias("text"))
+    frame = docs.select(F.col(key).alias("doc_id"), row_identity(key, text).alias("row_key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
             fp = fingerprints(raw_texts(b.column(2))).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "row_key", "fp"])
 
-    return frame.mapInArrow(run, f"doc_id {kind}, row_key long, fp long")
+    return frame.mapInArrow(run, f"doc_id {kind}, row_key binary, fp long")
 
 
 def _named(rows: DataFrame, near: int, route_rows: int) -> DataFrame:
@@ -243,14 +243,19 @@ def clustered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near:
     return rows.join(_named(rows, near, route_rows), "fp")
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = NEAR, route_rows: int = ROUTE_ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = NEAR, route_rows: int = ROUTE_ROWS, similar: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest id; all columns stay.
 
-    Copies are aggregated by fingerprint before components meet them. Texts are shuffled
-    once, by row, so that a large group of copies is spread out.
+    Rows are linked by fingerprints of at most ``near`` differing bits; or, with ``similar``, by that Jaccard similarity of their
+    five-word shingles, which fingerprints can't tell (see ``near_text``). Copies are aggregated by fingerprint before components meet
+    them. Texts are shuffled once, by row, so that a large group of copies is spread out. Of rows equal in id and text the one with the
+    smallest hash of all its columns stays.
     """
+    from quern.llm import near_text
+
+    if similar is not None:
+        return near_text.deduplicated(docs, key=key, text=text, similar=similar)
     rows = written(fingerprinted(docs, key=key, text=text), "simhash-rows")
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("m"))
     keep = first.join(_named(rows, near, route_rows), "fp").groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.row_key").alias(at := free_name(docs, "near_row")))
-    taken = docs.withColumn(at, F.xxhash64(F.col(key), F.col(text))).join(keep, at, "left_semi")
-    return taken.dropDuplicates([at]).drop(at)
+    return near_text.one_of_each(docs.withColumn(at, row_identity(key, text)).join(keep, at, "left_semi"), at)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from quern.llm import decontam, katz, katz_tables, mixing, simhash
+from quern.llm import decontam, katz, katz_tables, mixing, near_text, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 997}" for k in range(20_000))
@@ -414,6 +414,28 @@ def test_near_texts_equal_brute_force(spark):
     assert any(k != r and np.bitwise_count(apart[k] ^ apart[r]) > 4 for k, r in enumerate(roots))
 
 
+@pytest.mark.parametrize("block", [2, 5])
+def test_crowded_buckets_equal_brute_force(spark, monkeypatch, block):
+    """Texts that share a long passage meet in buckets of many components; blocks of a few members change nothing."""
+    rnd = random.Random(31)
+    say = lambda n: " ".join(f"w{rnd.randrange(5_000)}" for _ in range(n))
+    shared, rows = say(60), []
+    for _ in range(50):
+        t = f"{shared} {say(rnd.choice((8, 15, 40)))}".split()
+        rows.append(" ".join(t))
+        for _ in range(rnd.randint(0, 4)):
+            w = t[:]
+            for _ in range(rnd.randint(1, 3)):
+                w[rnd.randrange(len(w))] = "changed"
+            rows.append(" ".join(w))
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(rows)]
+    calls = []
+    left_over = near_text._left_over
+    monkeypatch.setattr(near_text, "_left_over", lambda spread, block: calls.append(spread.count()) or left_over(spread, block))
+    got = {r.doc_id for r in near_text.deduplicated(docs(spark, rows), block=block).collect()}
+    assert got == set(brute_near([r[1] for r in rows])) and 1 < len(got) < len(rows) and calls[0] > 20
+
+
 def test_near_texts_odd_rows(spark):
     stage = lambda df: corpus_pipeline.near_dedup(spark, df, "")
     assert sorted(str(r.doc_id) for r in stage(docs(spark, ODD)).collect()) == ["1", "2", "4", "None"]
