@@ -73,15 +73,15 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
 
     Nulls: a null text has size 0, a null source is a source, a null key is shuffled
     as the empty text. Rows of size 0 are never taken. Repeated rows count each.
-    Empty table: no rows. The order is fixed by md5 of the key, then the size, then the row's identity,
-    so only rows equal in key, source and text tie, and reruns agree.
+    Empty table: no rows. The order is fixed by md5 of the key and the row's identity, so rows of one key are spread,
+    only rows equal in key, source and text tie, and reruns agree.
     """
     narrow = written(docs.select(F.col(key).alias("doc_id"), row_identity(key, source, text).alias("row_key"), F.col(source).alias("source"), words(text).alias("size")), "mix-sizes")
     per_source = written(source_targets(narrow, most=most), "mix-sources")
     few = per_source.count() <= BROADCAST_SOURCES
     first = per_source.select("total").first()
     d = narrow.withColumnRenamed("source", "s").join(F.broadcast(per_source) if few else per_source, F.col("s").eqNullSafe(F.col("source"))).drop("s", "source", "total")
-    d = d.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    d = d.withColumn("order", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lower(F.hex("row_key"))).cast("binary")))
     d = d.withColumn("range", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
     sums = d.groupBy("src", "range").agg(F.sum("size").alias("sum"))
     ahead = sums.select("src", "range", (F.sum("sum").over(Window.partitionBy("src").orderBy("range")) - F.col("sum")).alias("ahead"))
@@ -126,8 +126,8 @@ def mixture(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k,
-         md5(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(source) || ':' || source, '-') || coalesce(length(text) || ':' || text, '-')) AS i FROM documents),
+         md5(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(source) || ':' || source, '-') || coalesce(length(text) || ':' || text, '-')) AS i,
+         md5(coalesce(doc_id::VARCHAR, '') || i) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS src FROM d GROUP BY source),
 w AS (SELECT *, (src - 1) % 3 + 1 AS weight FROM s),
 l AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, row_number() OVER o AS place,
