@@ -165,3 +165,28 @@ def stitched_pages(strips: DataFrame, *, key: str = "page", place: str = "pos",
         return pd.DataFrame([(f[key].iloc[0], page.tobytes(), page.shape[1], page.shape[0])], columns=[key, "pixels", "width", "height"])
 
     return strips.select(key, place, pixels, width).groupBy(key).applyInPandas(run, f"`{key}` {kind}, pixels binary, width int, height int")
+
+
+def png(gray: np.ndarray) -> bytes:
+    """A grey page as a PNG file, without a library: a header, the deflated rows, an end, each with its checksum."""
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    h, w = gray.shape
+    rows = np.hstack([np.zeros((h, 1), np.uint8), gray.astype(np.uint8)]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def cropped(pages: DataFrame, box: tuple[float, float, float, float], *, key: str = "page", pixels: str = "pixels", width: str = "width") -> DataFrame:
+    """(page, png, width, height): the part of each page inside ``box`` (left, top, right, bottom as shares), for people to look at."""
+
+    def one(gray: np.ndarray) -> list[tuple]:
+        h, w = gray.shape
+        left, top, right, bottom = (int(s * n) for s, n in zip(box, (w, h, w, h)))
+        part = gray[top : max(bottom, top + 1), left : max(right, left + 1)]
+        return [(png(part), part.shape[1], part.shape[0])]
+
+    return _pages(pages, key, pixels, width, one, "png binary, width int, height int")

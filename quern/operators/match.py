@@ -187,6 +187,21 @@ def numbered(rows: DataFrame, key: str, seq: str, *, to: str = "k") -> DataFrame
     return joined.withColumn(to, F.col("_before") + inside).drop("_key", "_r", "_range", "_before")
 
 
+def previous(rows: DataFrame, key: str, seq: str, value: str, *, to: str) -> DataFrame:
+    """``rows`` with ``value`` of the row before them within their key, in order of the numeric ``seq`` (no nulls); null for the first.
+
+    Rows look back inside a range of ``seq``; the first of a range gets the last value of the ranges before it, which come from one
+    row for each key and range, so a key with many rows is spread over tasks.
+    """
+    placed = rows.withColumn("_range", range_of(rows, seq)(F.col(seq)))
+    inside = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(key, "_range").orderBy(seq))
+    lasts = placed.groupBy(key, "_range").agg(F.max_by(F.struct(F.col(value).alias("v")), seq).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(key).orderBy("_range"))
+    ahead = lasts.select(F.col(key).alias("_key"), F.col("_range").alias("_r"), before.alias("_ahead"))
+    joined = placed.withColumn("_inside", inside).join(ahead, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(to, F.coalesce("_inside", "_ahead")["v"]).drop("_key", "_r", "_range", "_inside", "_ahead")
+
+
 def missing_numbers(rows: DataFrame, group: str, number: str, last: Column) -> DataFrame:
     """Numbers from 1 to ``last`` (an aggregate over the group) that a group lacks."""
     want = rows.groupBy(group).agg(last.alias("_last")).select(group, F.explode(F.sequence(F.lit(1), F.greatest("_last", F.lit(1)))).alias(number))

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.operators import match
 
 # Domains.
 WEIGHTS = ("high", "medium", "low")
@@ -112,7 +113,7 @@ def question_rules(questions: DataFrame, topics: DataFrame, passages: DataFrame)
     named = questions.join(passages.select(F.col("id").alias("passage"), F.col("text").alias("_text")), "passage", "left")
     stem = F.concat(tx.fold(F.col("q")), F.when(F.col("passage").isNotNull(), F.concat(F.lit(" | "), F.coalesce(tx.fold(F.col("_text")), F.lit("")))).otherwise(F.lit("")))
     stems = named.filter(F.length(tx.fold(F.col("q"))) >= 25).withColumn("_stem", stem)
-    before = F.lag("id").over(Window.partitionBy("_stem").orderBy("seq"))
+    again = match.previous(stems.withColumn("_stem", F.md5(F.col("_stem").cast("binary"))), "_stem", "seq", "id", to="_before")
     used = questions.filter(F.col("passage").isNotNull()).select(F.col("passage").alias("id"))
     return [
         unique(questions, ["id"], "V5", "question"),
@@ -126,7 +127,7 @@ def question_rules(questions: DataFrame, topics: DataFrame, passages: DataFrame)
         check(questions, F.col("paper").isNotNull() & F.col("source").isNotNull(), "V11", "question", "id", "both paper and source"),
         check(questions, F.col("source").isNotNull() & blank(F.col("source.name")), "V11", "question", "id", "source without a name"),
         _as(passages.join(used, "id", "left_anti"), "V12", "passage", F.col("id"), F.lit("no question uses it")),
-        _as(stems.withColumn("_before", before).filter(F.col("_before").isNotNull()), "V13", "question", F.col("id"), F.concat(F.lit("asked already as "), F.col("_before"))),
+        _as(again.filter(F.col("_before").isNotNull()), "V13", "question", F.col("id"), F.concat(F.lit("asked already as "), F.col("_before"))),
     ]
 
 

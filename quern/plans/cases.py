@@ -82,7 +82,7 @@ CASES: dict[str, Case] = {
     "question_pages": Case(lambda c: classify.is_question_page(c).cast("string"), (("Consider the following statements\n1. Which {w}\n2. the correct one\n(a) x (b) y", "true"), ("1. {w}\n2. x\n(a) (b)", "false"), ("the the the the {w}", "false"))),
     "series_letters": Case(classify.series_letter, (("{w} Series - C", "C"), ("XDTG-F-GST/62a", "A"), ("{w}", None))),
     "key_files": Case(lambda href, year: classify.key_file_code(href, year.cast("int")), ((("x/csp2020-anskey-paper-ii.pdf", "2020"), "gs2"), (("x/prelim-20-answer-gs-i.pdf", "2020"), "gs1"), (("x/{w}.pdf", "2020"), None), (("x/csp2019-anskey-paper-i.pdf", "2021"), None))),
-    "subject_hints": Case(classify.subject_hint, ((("Polity / {w}", ""), "polity"), (("", "Vision - Modern History (V2) {w}"), "history"), (("{w}", "{w}"), None), (("Economy", "Vision - Polity (V1)"), "economics"))),
+    "subject_hints": Case(classify.subject_hint, ((("Polity / {w}", ""), "polity"), (("", "Institute - Modern History (V2) {w}"), "history"), (("{w}", "{w}"), None), (("Economy", "Institute - Polity (V1)"), "economics"))),
     "series_titles": Case(lambda n, code: F.to_json(classify.series_title("Institute", "Mock", n.cast("int"), code, 2024)), ((("7", "{w}"), '{"name":"Institute","test":"Mock 2024, Test 07 ({w})","year":2024}'), (("12", "x"), '{"name":"Institute","test":"Mock 2024, Test 12 (x)","year":2024}'))),
     "stated_answers": Case(classify.stated_answer, (("option (a) is correct; so Option d is the correct {w}", "d"), ("{w}", None), ("OPTION ( C ) is the correct", "c"))),
     "picture_questions": Case(lambda c: classify.needs_picture(c).cast("string"), (("the map of {w}", "true"), ("a mapped {w}", "false"), ("{w} in the Figure", "true"))),
@@ -93,7 +93,7 @@ CASES: dict[str, Case] = {
     "payloads": Case(lambda c: readers.embedded_payload(c, "DATA", "struct<a: string, b: int>")["a"], (('x\n  const DATA = {"a":"{w}","b":2};\ny', "{w}"), ("const DATA = nothing;", None), ("{w}", None))),
     "download_names": Case(sinks.download_name, (("https://x.org/a/b%20c.pdf?v=1", "b%20c.pdf"), ("https://x.org/report.v2.html#top", "report.v2.html"), ("https://x.org/z.txt", "z.txt"))),
     "batch_ids": Case(lambda a, b, y, stem: ingest.batch_id(_source(a, b, y), stem), ((("Institute", "{w}", "2024", "f"), "Institute · {w} · 2024"), (("", "", "", "file-{w}"), "file-{w}"), (("Institute", "", "2020", "f"), "Institute · 2020"))),
-    "question_ids": Case(lambda i, p, pre, n: ingest.question_id(i, _paper(p), pre, n.cast("int")), ((("own-{w}", "", "x", "3"), "own-{w}"), (("", "2019-gs1-B-7", "x", "3"), "csp19-gs1-b-7"), (("", "", "vision-{w}", "3"), "vision-{w}-3"), (("", "", "", "3"), "q-3"))),
+    "question_ids": Case(lambda i, p, pre, n: ingest.question_id(i, _paper(p), pre, n.cast("int")), ((("own-{w}", "", "x", "3"), "own-{w}"), (("", "2019-gs1-B-7", "x", "3"), "csp19-gs1-b-7"), (("", "", "institute-{w}", "3"), "institute-{w}-3"), (("", "", "", "3"), "q-3"))),
     "prefixes": Case(lambda a, b, y: ingest.prefix(_source(a, b, y)), ((("The Institute", "Test 3: {w}!", "2024"), "the-institute-test-3-{s}-2024"), (("A", "", ""), "a"))),
     # --- keys
     "dropped_places": Case(lambda c: _joined(sequences.dropped_places(_cells(c))), (("ABXDX", "3|5"), ("ABCD", ""))),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quern.operators import images
-from quern.sources import readers, sinks
+from quern.sources import landing, readers, sinks
 
 
 def _read(spark, sf_dir, name):
@@ -171,14 +171,43 @@ def stitched_pages(spark, sf_dir):
     return images.stitched_pages(strips).select("page", "width", "height", F.length("pixels").alias("bytes"))
 
 
+def cropped_pages(spark, sf_dir):
+    """The middle of each page as a PNG file, whose header says its size."""
+    found = images.cropped(_drawn(spark, sf_dir, lambda k: np.full((200 + 4 * k, 100), k, np.uint8)), (0.25, 0.5, 0.75, 1.0))
+    size = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
+    return found.select("page", "width", "height", size(17).alias("said_width"), size(21).alias("said_height"), F.hex(F.substring("png", 1, 4)).alias("magic"))
+
+
+def fetched_files(spark, sf_dir):
+    """Files that are landed one at a time, some twice, some that can't be got; then read by Spark."""
+    names = [r.n_name for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # a small list of urls
+
+    def get(url: str) -> bytes:
+        if url.endswith("3"):
+            raise OSError("no answer")
+        return f"content of {url}".encode()
+
+    folder = landing.Folder(spark, sinks.shared_folder(spark, "landing"))
+    ask = landing.throttled(get, apart=0)
+    list(landing.read_through(names[:10], ask, folder))
+    states = list(landing.read_through(names, ask, folder))
+    kept = [landing.network_first(n, lambda _: None, folder) for n in names]
+    rows = [(n, s, None if c is None else c.decode()) for (n, s), c in zip(states, kept)]
+    files = readers.pages(spark, f"{folder.path}/*").select("text")
+    return spark.createDataFrame(rows, "url string, state string, kept string").join(files.withColumnRenamed("text", "kept").distinct(), "kept", "left").select("url", "state", "kept")
+
+
 _FUNCTIONS = (
-    json_documents, json_batches, raw_members, landed_pages, split_pages, recognised, exam_papers, optional_papers, written_json, written_pages, restored_state, folder_listing,
+    cropped_pages, fetched_files, json_documents, json_batches, raw_members, landed_pages, split_pages, recognised, exam_papers, optional_papers, written_json, written_pages, restored_state, folder_listing,
     page_splits, straightened_pages, page_columns, stitched_pages,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _YEARS = "(SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders)"
 ORACLE_SQL = {
+    "cropped_pages": "SELECT n_nationkey AS page, 50 AS width, 100 + 2 * n_nationkey AS height, 50 AS said_width, 100 + 2 * n_nationkey AS said_height, '89504E47' AS magic FROM nation",
+    "fetched_files": """SELECT n_name AS url, CASE WHEN n_name LIKE '%3' THEN 'failed' WHEN n_nationkey < 10 THEN 'landed' ELSE 'fetched' END AS state,
+        CASE WHEN n_name NOT LIKE '%3' THEN 'content of ' || n_name END AS kept FROM nation""",
     "json_documents": "SELECT CASE WHEN r_regionkey <> 3 THEN r_name END AS name, CASE WHEN r_regionkey <> 3 THEN r_regionkey END AS key, r_regionkey = 3 AS broken FROM region",
     "json_batches": """SELECT CASE WHEN r_regionkey = 3 THEN '{"name": "broken' ELSE r_name END AS name, CASE WHEN r_regionkey = 3 THEN 'unreadable' ELSE 'read' END AS state FROM region""",
     "raw_members": """SELECT 0 AS seq, '{"n":null}' AS raw, 'n' AS keys FROM region UNION ALL SELECT 1, '{"m":"' || r_name || '"}', 'm' FROM region""",

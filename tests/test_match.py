@@ -130,8 +130,8 @@ def test_changes_and_ids(spark, value):
     assert rows(ingest.changes(now, log).select("batch", "state")) == [("a", "unchanged"), ("b", "changed"), ("c", "new")]
     done = ingest.run_in_order(ingest.changes(now, log), lambda b: b != "c")
     assert done == ["b"]
-    df = spark.createDataFrame([(None, (2024, "gs1", "A", 7), "", 1), ("own", None, "p", 2), (None, None, "vision-3", 3), (None, None, "", 4)], "id string, paper struct<year int, code string, set string, n int>, prefix string, n int")
-    assert [r[0] for r in df.select(ingest.question_id(F.col("id"), F.col("paper"), F.col("prefix"), F.col("n"))).collect()] == ["csp24-gs1-a-7", "own", "vision-3-3", "q-4"]
+    df = spark.createDataFrame([(None, (2024, "gs1", "A", 7), "", 1), ("own", None, "p", 2), (None, None, "institute-3", 3), (None, None, "", 4)], "id string, paper struct<year int, code string, set string, n int>, prefix string, n int")
+    assert [r[0] for r in df.select(ingest.question_id(F.col("id"), F.col("paper"), F.col("prefix"), F.col("n"))).collect()] == ["csp24-gs1-a-7", "own", "institute-3-3", "q-4"]
     assert value(ingest.digest(F.col("x")), x="abc") == "ba7816bf8f01cfea"
 
 

@@ -17,7 +17,7 @@ C = F.col
         (tx.visible_text, "<b>A &amp;lt; B</b>&nbsp;<i>c</i>", "A &lt; B c"),
         (tx.escape_html, "a<b & \"c\"'", "a&lt;b &amp; &quot;c&quot;&#39;"),
         (tx.minify_json, '{ "a b": [1, 2],\n "c": "\\" x" }', '{"a b":[1,2],"c":"\\" x"}'),
-        (tx.slug, " Vision: IAS -- Test 3 ", "vision-ias-test-3"),
+        (tx.slug, " Some: Body -- Test 3 ", "some-body-test-3"),
         (tx.rejoin_fragments, "a\nb\n \nc", "ab c"),
         (tx.rejoin_fragments, "fr\nom\n2\n2.\nlonger line", "from 2 2. longer line"),
         (tx.rejoin_fragments, "two whole\nlines", "two whole lines"),
