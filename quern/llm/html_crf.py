@@ -303,7 +303,7 @@ def extract(page: str, model: Model) -> str:
 # --- labelled pages -----------------------------------------------------------------
 
 
-def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_pages(count: int = 200, seed: int = 11) -> list[tuple[str, str]]:
     """(html, main text) of made-up pages."""
     r = random.Random(seed)
     words = ["".join(r.choice(("ka", "lo", "mi", "ran", "tes", "vu", "sol", "per", "ni", "da")) for _ in range(r.randint(1, 4))) for _ in range(400)]
@@ -417,7 +417,7 @@ def labels(nodes: list[Node], blocks: list[tuple[int, str]], main: str) -> list[
     return y
 
 
-def train(pages: list[tuple[str, str]] | None = None, *, rounds: int = 300, rate: float = 0.3, decay: float = 2e-5) -> Model:
+def train(pages: list[tuple[str, str]] | None = None, *, rounds: int = 120, rate: float = 0.5, decay: float = 2e-5) -> Model:
     """Unary weights and parent-child potentials from (html, main text) pages.
 
     Gradient ascent (Adam) on the log likelihood of the labels: what is observed less what the
