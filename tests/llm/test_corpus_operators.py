@@ -414,6 +414,21 @@ def test_near_texts_equal_brute_force(spark):
     assert any(k != r and np.bitwise_count(apart[k] ^ apart[r]) > 4 for k, r in enumerate(roots))
 
 
+def test_many_copies_of_one_text_are_few_links(spark):
+    """Copies changed apart from each other, of which most are similar to the original only, and some to another copy only."""
+    rnd = random.Random(41)
+    base = [f"w{k}" for k in range(120)]
+    rows = [" ".join(base)]
+    for k in range(400):
+        w = base[:]
+        for _ in range(rnd.randint(1, 5)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10_000)}"
+        rows.append(" ".join(w))
+    rnd.shuffle(rows)
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(rows)]
+    assert {r.doc_id for r in near_text.deduplicated(docs(spark, rows)).collect()} == set(brute_near([r[1] for r in rows]))
+
+
 @pytest.mark.parametrize("block", [2, 5])
 def test_crowded_buckets_equal_brute_force(spark, monkeypatch, block):
     """Texts that share a long passage meet in buckets of many components; blocks of a few members change nothing."""
@@ -431,7 +446,7 @@ def test_crowded_buckets_equal_brute_force(spark, monkeypatch, block):
     rows = [(k, t, "en", "s", 1) for k, t in enumerate(rows)]
     calls = []
     left_over = near_text._left_over
-    monkeypatch.setattr(near_text, "_left_over", lambda spread, block: calls.append(spread.count()) or left_over(spread, block))
+    monkeypatch.setattr(near_text, "_left_over", lambda spread, *how: calls.append(spread.count()) or left_over(spread, *how))
     got = {r.doc_id for r in near_text.deduplicated(docs(spark, rows), block=block).collect()}
     assert got == set(brute_near([r[1] for r in rows])) and 1 < len(got) < len(rows) and calls[0] > 20
 
