@@ -15,6 +15,8 @@ from quern.llm.common import free_name, table, written
 
 #: Jaccard similarity over five-word shingles from which documents are near-duplicates.
 SIMILAR = 0.8
+#: Differing bits of fingerprints up to which near-duplicates are searched in the whole corpus at once: eight routes of eight bits.
+NEAR = 7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard at least 0.8), that of the smallest id."""
-    return simhash.deduplicated(docs, similar=SIMILAR)
+    return simhash.deduplicated(docs, near=NEAR, similar=SIMILAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from quern.llm.common import free_name, raw_texts, row_identity, slices, written
 
 NEAR, WORDS, ROUTE_ROWS, LEVELS = 4, 4, 50_000, 3
 LEAF = 16
+#: Searchers times fingerprints that a chunk of a search holds at most, one searcher at least.
+CELLS = 1 << 20
 #: Lanes of a uint64 that hold the bits of each byte value, low bit first.
 _LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
 
@@ -44,16 +46,20 @@ def fingerprints(raws: list[bytes], words: int = WORDS) -> np.ndarray:
         stop = (ends[min(words, len(ws)) - 1 :] - 1).tolist()
         full.append(i), starts.append(len(hashes)), sizes.append(len(begin))
         hashes += [h(joined[s:e], 42) for s, e in zip(begin, stop)]
-    if not full:
-        return out
-    lanes = _LANES[np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)]
+    if full:
+        out[full] = majority(np.array(hashes, np.uint64), starts, sizes)
+    return out
+
+
+def majority(hashes: np.ndarray, starts: list[int], sizes: list[int]) -> np.ndarray:
+    """The bits set in over half of each run of ``hashes``; no run is empty."""
+    lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
     cuts = np.concatenate([np.arange(s, s + n, 255) for s, n in zip(starts, sizes)])
     part = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).astype(np.int64)
     per = np.cumsum([0, *(-(-n // 255) for n in sizes)])[:-1]
     ones = np.add.reduceat(part, per, axis=0)
     bits = (2 * ones > np.array(sizes)[:, None]).astype(np.uint8)
-    out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -73,50 +79,78 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = nxt
 
 
-def gray_groups(x: np.ndarray, near: int = NEAR, chunk: int = 256) -> np.ndarray:
-    """A component label for each of the fingerprints ``x``, which are sorted by Gray rank."""
+def _spanned(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_merge`` and those of the pairs that make it: a forest."""
+    one, two = [a[:0]], [b[:0]]
+    while len(at := np.flatnonzero(label[a] != label[b])):
+        a, b = a[at], b[at]
+        high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+        high, first = np.unique(high, return_index=True)
+        label[high] = low[first]
+        one.append(a[first]), two.append(b[first])
+        while not np.array_equal(label, nxt := label[label]):
+            label = nxt
+    return label, np.concatenate(one), np.concatenate(two)
+
+
+def gray_index(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The levels of the index over ``x``, which is sorted by Gray rank, leaves first: bits that a node shares, their mask, its first place and that after its last."""
     n = len(x)
-    label = np.arange(n)
-    levels, first, masks, shared = [], np.arange(n), np.full(n, ~np.uint64(0)), x.copy()
-    bounds = [(np.arange(n), np.arange(1, n + 1))]
-    nodes = [(shared, masks)]
-    while len(nodes[-1][0]) > LEAF:
-        pat, mask = nodes[-1]
+    levels = [(x, np.full(n, ~np.uint64(0)), np.arange(n), np.arange(1, n + 1))]
+    while len(levels[-1][0]) > LEAF:
+        pat, mask, lo, hi = levels[-1]
         at = np.arange(0, len(pat), LEAF)
         lead = pat[at][np.minimum(np.arange(len(pat)) // LEAF, len(at) - 1)]
         same = np.bitwise_and.reduceat(mask & ~(pat ^ lead), at)
-        nodes.append((pat[at] & same, same))
-        bounds.append((bounds[-1][0][at], bounds[-1][1][np.minimum(at + LEAF - 1, len(pat) - 1)]))
-    del levels, first
-    top = len(nodes) - 1
-    for q0 in range(0, n, chunk):
-        q = np.arange(q0, min(n, q0 + chunk))
-        width = len(nodes[top][0])
-        qs, node = np.repeat(q, width), np.tile(np.arange(width), len(q))
-        acc = np.zeros(len(qs), np.int64)
-        known = np.zeros(len(qs), np.uint64)
-        for level in range(top, -1, -1):
-            pat, mask = nodes[level]
-            acc = acc + np.bitwise_count((x[qs] ^ pat[node]) & mask[node] & ~known)
-            lo, hi = bounds[level]
-            low, high = np.minimum.reduceat(label, lo), np.maximum.reduceat(label, lo)
-            keep = (acc <= near) & (hi[node] > qs + 1) & ~((low[node] == high[node]) & (low[node] == label[qs]))
-            qs, node, acc = qs[keep], node[keep], acc[keep]
-            if level == 0 or not len(qs):
-                break
-            known = mask[node]
-            below = len(nodes[level - 1][0])
-            fan = np.minimum(LEAF, below - node * LEAF)
-            step = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-            node = np.repeat(node * LEAF, fan) + step
-            qs, acc, known = np.repeat(qs, fan), np.repeat(acc, fan), np.repeat(known, fan)
-        if len(qs):
-            label = _merge(label, qs, node)
+        levels.append((pat[at] & same, same, lo[at], hi[np.minimum(at + LEAF - 1, len(pat) - 1)]))
+    return levels
+
+
+def gray_search(levels: list[tuple], label: np.ndarray, fps: np.ndarray, own: np.ndarray, after: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(searcher, place) for the fingerprints within ``near`` bits of the searchers ``fps``, beyond place ``after``, but not those of the searcher's ``own`` label."""
+    width = len(levels[-1][0])
+    qs, node = np.repeat(np.arange(len(fps)), width), np.tile(np.arange(width), len(fps))
+    acc = np.zeros(len(qs), np.int64)
+    known = np.zeros(len(qs), np.uint64)
+    for level in range(len(levels) - 1, -1, -1):
+        pat, mask, lo, hi = levels[level]
+        acc = acc + np.bitwise_count((fps[qs] ^ pat[node]) & mask[node] & ~known)
+        low, high = np.minimum.reduceat(label, lo), np.maximum.reduceat(label, lo)
+        keep = (acc <= near) & (hi[node] > after[qs] + 1) & ~((low[node] == high[node]) & (low[node] == own[qs]))
+        qs, node, acc = qs[keep], node[keep], acc[keep]
+        if level == 0 or not len(qs):
+            break
+        known = mask[node]
+        below = len(levels[level - 1][0])
+        fan = np.minimum(LEAF, below - node * LEAF)
+        step = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+        node = np.repeat(node * LEAF, fan) + step
+        qs, acc, known = np.repeat(qs, fan), np.repeat(acc, fan), np.repeat(known, fan)
+    return qs, node
+
+
+def gray_groups(x: np.ndarray, near: int = NEAR, chunk: int = 256, pairs: list | None = None) -> np.ndarray:
+    """A component label for each of the fingerprints ``x``, which are sorted by Gray rank.
+
+    ``pairs`` gets arrays (a, b) of places that are near and span the components.
+    """
+    label, levels, chunk = np.arange(len(x)), gray_index(x), max(1, min(chunk, CELLS // max(1, len(x))))
+    for q0 in range(0, len(x), chunk):
+        q = np.arange(q0, min(len(x), q0 + chunk))
+        qs, node = gray_search(levels, label, x[q], label[q], q, near)
+        if len(qs) and pairs is None:
+            label = _merge(label, q[qs], node)
+        elif len(qs):
+            label, *found = _spanned(label, q[qs], node)
+            pairs.append(found)
     return label
 
 
-def route_links(key: np.ndarray, fp: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """Labels over rows sorted by route ``key`` and Gray rank; equal labels are linked inside a route."""
+def route_links(key: np.ndarray, fp: np.ndarray, near: int = NEAR, pairs: list | None = None) -> np.ndarray:
+    """Labels over rows sorted by route ``key`` and Gray rank; equal labels are linked inside a route.
+
+    ``pairs`` gets arrays (a, b) of places that are near and span what is linked.
+    """
     n = len(key)
     label = np.arange(n)
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -126,10 +160,16 @@ def route_links(key: np.ndarray, fp: np.ndarray, near: int = NEAR) -> np.ndarray
     for d in range(1, small):
         i = np.flatnonzero((key[d:] == key[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= near))
         a.append(i), b.append(i + d)
-    if a:
+    if a and pairs is None:
         label = _merge(label, np.concatenate(a), np.concatenate(b))
+    elif a:
+        label, *found = _spanned(label, np.concatenate(a), np.concatenate(b))
+        pairs.append(found)
     for s, m in zip(cut[size > 4 * LEAF], size[size > 4 * LEAF]):
-        label[s : s + m] = s + gray_groups(fp[s : s + m], near)
+        inside = None if pairs is None else []
+        label[s : s + m] = s + gray_groups(fp[s : s + m], near, pairs=inside)
+        if inside:
+            pairs += [(s + x, s + y) for x, y in inside]
     return label
 
 
@@ -146,8 +186,8 @@ def _routes(frame: DataFrame, bits: int, near: int) -> tuple[DataFrame, int]:
     return frame.select(F.explode(F.array(*out)).alias("r")).select("r.*"), left
 
 
-def links(distinct: DataFrame, *, near: int = NEAR, route_rows: int = ROUTE_ROWS) -> DataFrame:
-    """(a, b) between fingerprints ``fp`` (long), enough of them to span every component."""
+def links(distinct: DataFrame, *, near: int = NEAR, route_rows: int = ROUTE_ROWS, direct: bool = False) -> DataFrame:
+    """(a, b) between fingerprints ``fp`` (long), enough of them to span every component; with ``direct`` each is a pair within ``near`` bits."""
     todo, bits, done = distinct.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp"), 64, None
     for level in range(LEVELS):
         todo, bits = _routes(todo, bits, near)
@@ -168,10 +208,14 @@ def links(distinct: DataFrame, *, near: int = NEAR, route_rows: int = ROUTE_ROWS
         def solved(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((gray_rank(fp), key))
             key, fp = key[order], fp[order]
-            label = route_links(key, fp, near)
+            pairs = [] if direct else None
+            label = route_links(key, fp, near, pairs)
             i = np.flatnonzero(label != np.arange(len(label)))
+            j = label[i]
+            if pairs:
+                i, j = (np.concatenate(side) for side in zip(*pairs))
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[label[i]].view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["a", "b"])
 
         for b in batches:
             key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False)])
@@ -247,14 +291,15 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ne
     """One row of ``docs`` for each component, that of the smallest id; all columns stay.
 
     Rows are linked by fingerprints of at most ``near`` differing bits; or, with ``similar``, by that Jaccard similarity of their
-    five-word shingles, which fingerprints can't tell (see ``near_text``). Copies are aggregated by fingerprint before components meet
+    five-word shingles: then candidates meet by fingerprints, first those of at most ``near`` differing bits, and their sets decide (see
+    ``near_text``). Copies are aggregated by fingerprint before components meet
     them. Texts are shuffled once, by row, so that a large group of copies is spread out. Of rows equal in id and text the one with the
     smallest hash of all its columns stays.
     """
     from quern.llm import near_text
 
     if similar is not None:
-        return near_text.deduplicated(docs, key=key, text=text, similar=similar)
+        return near_text.deduplicated(docs, key=key, text=text, similar=similar, near=near, route_rows=route_rows)
     rows = written(fingerprinted(docs, key=key, text=text), "simhash-rows")
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("m"))
     keep = first.join(_named(rows, near, route_rows), "fp").groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.row_key").alias(at := free_name(docs, "near_row")))

@@ -414,6 +414,74 @@ def test_near_texts_equal_brute_force(spark):
     assert any(k != r and np.bitwise_count(apart[k] ^ apart[r]) > 4 for k, r in enumerate(roots))
 
 
+def brute_set_fingerprint(t):
+    w = (t or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(x, 42) for x in {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def joined(n, pairs):
+    root = list(range(n))
+    for x, y in pairs:
+        x, y = root[x], root[y]
+        root = [min(x, y) if r == max(x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("near, route_rows", [(4, 50_000), (7, 50_000), (7, 40)])
+def test_direct_links_are_near_and_span(spark, near, route_rows):
+    rnd, x = random.Random(near), []
+    for k in range(700):
+        fp = rnd.choice(x) if k % 4 else rnd.getrandbits(64)
+        for _ in range(rnd.randint(1, 9) if k % 4 else 0):
+            fp ^= 1 << rnd.randrange(64)
+        x.append(fp)
+    x = np.unique(np.array(x, np.uint64))
+    place = {int(v): k for k, v in enumerate(x.view(np.int64))}
+    table = spark.createDataFrame([(v,) for v in place], "fp long")
+    found = [(place[r.a], place[r.b]) for r in simhash.links(table, near=near, route_rows=route_rows, direct=True).collect()]
+    bits = np.bitwise_count(x[:, None] ^ x[None, :])
+    assert found and all(bits[a, b] <= near for a, b in found)
+    assert joined(len(x), found) == joined(len(x), np.argwhere(bits <= near).tolist())
+
+
+def test_near_dedup_searches_fingerprints_in_gray_order(spark, monkeypatch):
+    """The stage's candidates are the operator's links of fingerprints; what is similar but further apart is found too."""
+    rows = corpus(23, 200, longest=150)
+    searched, search = [], simhash.links
+    monkeypatch.setattr(near_text, "links", lambda distinct, **how: searched.append((how["near"], {r.fp for r in distinct.collect()})) or search(distinct, **how))
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
+    want = {r[0]: np.uint64(brute_set_fingerprint(r[1])) for r in rows if r[1].split()}
+    assert searched == [(corpus_pipeline.NEAR, {int(x.astype(np.int64)) for x in want.values()})]
+    roots = brute_near([r[1] for r in rows])
+    assert got == set(roots)
+    apart = [np.bitwise_count(want[k] ^ want[r]) for k, r in enumerate(roots) if k != r and k in want]
+    assert min(apart) <= corpus_pipeline.NEAR < max(apart)
+
+
+@pytest.mark.parametrize("chunk", [1, 64])
+def test_units_are_searched_by_fingerprints(chunk):
+    """The index of a unit finds all that is similar, and nothing beyond its radius."""
+    rnd = random.Random(43)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(120):
+        w = base[:] if k % 3 else [f"w{rnd.randrange(5_000)}" for _ in range(200)]
+        for _ in range(rnd.randint(1, 8)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10_000)}"
+        texts.append(" ".join(w))
+    parts = [near_text.shingle_set(t.encode()) for t in texts]
+    fps, n = near_text.set_fingerprints(parts), len(texts)
+    assert [int(x) for x in fps] == [brute_set_fingerprint(t) for t in texts]
+    signs, keys = np.stack([near_text.signature(p) for p in parts]), np.zeros((n, near_text.BANDS), np.int64)
+    for side in (np.zeros(n, np.int64), np.arange(n) % 2):
+        likes = [(i, j) for i in range(n) for j in range(i) if (side[i] != side[j] or not side.any()) and near_text.similarity(parts[i], parts[j]) >= 0.8]
+        for wide in (near_text.WIDE, 6):
+            got = near_text.unit_links(0, side, np.arange(n), fps, signs, keys, parts, agree=0, wide=wide, chunk=chunk)
+            assert joined(n, got) == joined(n, [(i, j) for i, j in likes if np.bitwise_count(fps[i] ^ fps[j]) <= wide])
+            assert 0 < len(got) < n
+
+
 def test_many_copies_of_one_text_are_few_links(spark):
     """Copies changed apart from each other, of which most are similar to the original only, and some to another copy only."""
     rnd = random.Random(41)
