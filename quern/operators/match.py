@@ -264,8 +264,8 @@ SMALL_BAGS = 1_000_000
 def rank_topics(queries: DataFrame, bags: DataFrame, topics: int | DataFrame, *, key: str = "id", text: str = "text", top: int = 3, subject: str | None = None, small: int = SMALL_BAGS) -> DataFrame:
     """The best topics of each text by shared rare terms, with the lead over the runner-up.
 
-    score = sum over shared terms of min(count, 3) * ln(1 + tf) * idf; equal scores (to nine
-    decimals, as sums depend on order) in order of the topic's id. With ``subject`` (a column of queries that may be null) only topics whose
+    score = sum over shared terms of min(count, 3) * ln(1 + tf) * idf, added from the largest down, so that neither the order of
+    words nor that of rows decides its last bit; equal scores (to nine decimals) in order of the topic's id. With ``subject`` (a column of queries that may be null) only topics whose
     id begins with it compete. ``weak``: score under 8, or a lead under 1.25. Terms of idf 0 are dropped first.
 
     While the topics' weights are at most ``small`` in number they go to every task, and a text is ranked where it stands;
@@ -274,14 +274,15 @@ def rank_topics(queries: DataFrame, bags: DataFrame, topics: int | DataFrame, *,
     n = F.lit(topics) if isinstance(topics, int) else F.col("_topics")
     counted = bags if isinstance(topics, int) else bags.crossJoin(F.broadcast(topics.agg(F.count("*").alias("_topics"))))
     rare = counted.groupBy("term").agg(F.greatest(F.lit(0.0), F.log(F.first(n) / (1 + F.count("*")))).alias("idf")).filter("idf > 0")
-    live = bags.join(rare, "term").withColumn("w", F.log(1 + F.col("tf")) * F.col("idf")).select("term", "topic", "w")
+    live = bags.join(rare, "term").select("term", "topic", F.log(1 + F.col("tf")).alias("w"), "idf")
     hint = F.col(subject) if subject else F.lit(None).cast("string")
     held = live.limit(small + 1).toArrow()
     if held.num_rows <= small:
         return _ranked_in_place(queries.select(F.col(key), hint.alias("_subject"), tx.terms(F.col(text)).alias("_terms")), held.to_pydict(), key, top)
     q = queries.select(F.col(key).alias("_id"), hint.alias("_subject"), F.explode(tx.terms(F.col(text))).alias("term")).groupBy("_id", "_subject", "term").agg(F.least(F.count("*"), F.lit(3)).alias("c"))
     j = q.join(live, "term").filter(F.col("_subject").isNull() | F.col("topic").startswith(F.concat(F.col("_subject"), F.lit("-"))))
-    scored = j.groupBy("_id", "topic").agg(F.sum(F.col("c") * F.col("w")).alias("score")).filter("score > 0")
+    shares = F.sort_array(F.collect_list(F.col("c") * F.col("w") * F.col("idf")), False)
+    scored = j.groupBy("_id", "topic").agg(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x).alias("score")).filter("score > 0")
     order = Window.partitionBy("_id").orderBy(F.round("score", 9).desc(), "topic")
     scored = scored.withColumns({"rank": F.row_number().over(order), "_next": F.lead("score").over(order)}).filter(F.col("rank") <= top)
     lead = F.coalesce(F.col("score") / F.col("_next"), F.lit(9.9))
@@ -290,22 +291,26 @@ def rank_topics(queries: DataFrame, bags: DataFrame, topics: int | DataFrame, *,
 
 
 def _ranked_in_place(queries: DataFrame, live: dict[str, list], key: str, top: int) -> DataFrame:
-    """``rank_topics`` of (key, _subject, _terms) by weights (term, topic, w)."""
+    """``rank_topics`` of (key, _subject, _terms) by weights (term, topic, w, idf)."""
     topics = sorted(set(live["topic"]))
     at = {t: k for k, t in enumerate(topics)}
-    weights: dict[str, list[tuple[int, float]]] = {}
-    for term, topic, w in zip(live["term"], live["topic"], live["w"]):
-        weights.setdefault(term, []).append((at[topic], w))
+    weights: dict[str, list[tuple[int, float, float]]] = {}
+    for term, topic, w, idf in zip(live["term"], live["topic"], live["w"], live["idf"]):
+        weights.setdefault(term, []).append((at[topic], w, idf))
     kind = queries.schema[key].dataType.simpleString()
     schema = pa.schema([("rank", pa.int32()), ("topic", pa.string()), ("score", pa.float64()), ("lead", pa.float64()), ("weak", pa.bool_())])
 
     def ranked(subject: str | None, terms: list[str]) -> Iterator[tuple]:
-        scores: dict[int, float] = {}
+        shares: dict[int, list[float]] = {}
         for term, n in Counter(t for t in terms if t in weights).items():
-            for k, w in weights[term]:
-                scores[k] = scores.get(k, 0.0) + min(n, 3) * w
-        if subject is not None:
-            scores = {k: v for k, v in scores.items() if topics[k].startswith(f"{subject}-")}
+            for k, w, idf in weights[term]:
+                shares.setdefault(k, []).append(min(n, 3) * w * idf)
+        scores: dict[int, float] = {}
+        for k, found in shares.items():
+            if subject is None or topics[k].startswith(f"{subject}-"):
+                scores[k] = 0.0
+                for x in sorted(found, reverse=True):  # not sum(), which compensates
+                    scores[k] += x
         best = sorted((-round(v, 9), k) for k, v in scores.items() if v > 0)[: top + 1]
         for rank, (_, k) in enumerate(best[:top], 1):
             lead = (scores[k] / scores[best[1][1]] if len(best) > 1 else 9.9) if rank == 1 else None

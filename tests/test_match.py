@@ -58,6 +58,20 @@ def test_rank_topics_by_hand(spark):
     assert abs(got[0].score - 3 * math.log(4) * math.log(3 / 2)) < 1e-12 and got[0].lead == 9.9 and got[0].weak
 
 
+def test_ranks_ignore_the_order_of_words(spark):
+    from itertools import permutations
+
+    df = {"ash": 4, "birch": 7, "cedar": 1, "dogwood": 1, "elm": 1}  # ln 40 + ln 25 + ln 100 is 2.5 ln 100: a lead of 1.25 but for the last bit
+    topics = {"t-1": ("ash", "birch", "cedar"), "t-2": ("dogwood", "elm")}
+    bags = [(t, w, 3) for t, words in topics.items() for w in words] + [(f"x-{w}-{k}", w, 3) for w, n in df.items() for k in range(n - 1)]
+    bags = spark.createDataFrame(bags, "topic string, term string, tf int")
+    q = spark.createDataFrame([(k, " ".join(p), "t") for k, p in enumerate(permutations(df))], "id int, text string, subject string")
+    for small in (1000, 0):
+        got = match.rank_topics(q, bags, 200, subject="subject", small=small).filter("rank = 1").collect()
+        assert len(got) == 120 and len({(r.topic, r.score, r.lead, r.weak) for r in got}) == 1
+    assert got[0].topic == "t-1" and abs(got[0].lead - 1.25) < 1e-12
+
+
 def test_passages_pages_and_furniture(spark):
     r = spark.createDataFrame([("d", 1, "p1", 2), ("d", 2, None, None), ("d", 3, None, None)], "g string, n int, pid string, items int")
     assert rows(match.carried_passage(r, group="g").select("n", "passage")) == [(1, "p1"), (2, "p1"), (3, None)]
