@@ -8,6 +8,7 @@ micro-batch happens to run.
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.operators.progress import LADDER_DAYS, PAPER_MINUTES
 
+_FIRST_DAY = dt.date(1970, 1, 1).toordinal()
+
 
 def sittings(events: DataFrame, *, user: str = "user_id", ts: str = "ts", kind: str = "kind", minutes: int = PAPER_MINUTES, late: str = "10 minutes") -> DataFrame:
     """(user, start, submitted, answers) once a sitting is over.
@@ -70,36 +73,49 @@ def _in_order(frames: Iterator[pd.DataFrame], ts: str, seq: str | None) -> pd.Da
     return rows.sort_values([ts, *([seq] if seq else [c for c in rows.columns if c != ts])], kind="stable")
 
 
-def mistake_ladder(attempts: DataFrame, *, user: str = "user_id", item: str = "item", ts: str = "ts", right: str = "right", seq: str | None = None) -> DataFrame:
+def mistake_ladder(attempts: DataFrame, *, user: str = "user_id", item: str = "item", ts: str = "ts", right: str = "right", seq: str | None = None, buckets: int = 1024) -> DataFrame:
     """(user, item, step, due, done) after each batch in which an item's state changed.
 
     Rows are attempts of submitted papers. A null ``right`` clears the item by hand. State is three values for each item that
     was ever wrong and is kept; a row that comes after a later one of its item is taken as it comes.
+    Items are kept by ``buckets`` of their hash, as a call and a stored row for each item would cost far more than its attempts do.
+    A bucket's state is the states of its items.
     """
     types = [attempts.schema[c].dataType.simpleString() for c in (user, item)]
+    order = [ts, *([seq] if seq else [c for c in attempts.columns if c not in (user, item, ts)])]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, due, done = state.get if state.exists else (-1, None, False)
-        before = (now, due, done)
-        rows = _in_order(frames, ts, seq)
-        for t, ok in zip(rows[ts], rows[right]):
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        before: dict[tuple, tuple] = {}
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        days = rows[ts].to_numpy().astype("datetime64[D]").astype("int64")  # since 1970, as an item's due day
+        for who, what, day, ok in zip(rows[user].tolist(), rows[item].tolist(), days.tolist(), rows[right].tolist()):
+            of = (who, what)
+            old = now, due, done = held.get(of, (-1, None, False))
             if ok is None or pd.isna(ok):
-                now, due, done = (now, None, True) if now >= 0 else (now, due, done)
+                now, due, done = (now, None, True) if now >= 0 else old
             elif not ok:
-                now, due, done = 0, t.date() + dt.timedelta(days=LADDER_DAYS[0]), False
+                now, due, done = 0, day + LADDER_DAYS[0], False
             elif now >= 0 and not done:
                 if now == len(LADDER_DAYS) - 1:
                     due, done = None, True
                 else:
                     now += 1
-                    due = t.date() + dt.timedelta(days=LADDER_DAYS[now])
-        if now >= 0:
-            state.update((now, due, done))
-        yield pd.DataFrame([(*key, now, due, done)] if (now, due, done) != before else [], columns=[user, item, "step", "due", "done"])
-
-    return attempts.groupBy(user, item).applyInPandasWithState(
-        step, f"`{user}` {types[0]}, `{item}` {types[1]}, step int, due date, done boolean", "step int, due date, done boolean", "update", GroupStateTimeout.NoTimeout
-    )
+                    due = day + LADDER_DAYS[now]
+            if (now, due, done) != old:
+                before.setdefault(of, old)
+                held[of] = now, due, done
+        changed = [(*of, *held[of]) for of, old in before.items() if held[of] != old]
+        if changed:
+            state.update((pickle.dumps(held),))
+            out = pd.DataFrame(changed, columns=[user, item, "step", "due", "done"])
+            out["due"] = [None if d is None else dt.date.fromordinal(_FIRST_DAY + d) for *_, d, _ in changed]
+            yield out
+
+    # keys travel as text, which no null turns into floats
+    text = attempts.withColumns({user: F.col(user).cast("string"), item: F.col(item).cast("string"), "_bucket": F.pmod(F.xxhash64(user, item), F.lit(buckets)).cast("int")})
+    found = text.groupBy("_bucket").applyInPandasWithState(step, f"`{user}` string, `{item}` string, step int, due date, done boolean", "held binary", "update", GroupStateTimeout.NoTimeout)
+    return found.withColumns({user: F.col(user).cast(types[0]), item: F.col(item).cast(types[1])})
 
 
 def run_streaks(runs: DataFrame, *, user: str = "user_id", ts: str = "ts", kind: str = "kind", seq: str | None = None) -> DataFrame:

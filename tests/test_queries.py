@@ -133,3 +133,23 @@ def test_key_blocks_of_whole_sequences(spark, tmp_path):
         want = {s: brute_key(s, a) for s, a in by.items()}
         assert {r.bucket: (r.block, r.ok, r.perm, r.repeats) for r in tables.key_blocks(spark, path).collect()} == want
     assert len(want) == 18
+
+
+def test_ladder_states_are_kept_by_bucket(spark, tmp_path):
+    """Over two batches: no state row for each item, states found again, null keys and clearing by hand."""
+    from quern.streaming.sittings import mistake_ladder
+
+    day = lambda d: dt.datetime(2024, 1, d)
+    schema = "user_id long, item int, ts timestamp, right boolean"
+    first = [(2**53 + u, u % 3, day(1), False) for u in range(1500)] + [(None, 1, day(1), False), (None, 2, day(1), True)]
+    second = [(2**53 + u, u % 3, day(2), (True, False, None)[u % 3]) for u in range(0, 1500, 5)] + [(None, 1, day(3), True)]
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = []
+    q = mistake_ladder(stream).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda b, _: got.append([tuple(r) for r in b.collect()])).start()
+    q.awaitTermination()
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= 1024
+    assert len(got[0]) == 1501 and set(got[0]) == {(*r[:2], 0, dt.date(2024, 1, 2), False) for r in first[:-1]}
+    after = {0: (1, dt.date(2024, 1, 5), False), 1: (0, dt.date(2024, 1, 3), False), 2: (0, None, True)}
+    assert sorted(got[1], key=repr) == sorted([(*r[:2], *after[r[1]]) for r in second[:-1]] + [(None, 1, 1, dt.date(2024, 1, 6), False)], key=repr)
