@@ -126,6 +126,12 @@ def _texts(pairs: tuple) -> list[list[str]]:
     return [[x] if isinstance(x, str) else list(x) for x, _ in pairs]
 
 
+def parts(spark, sf_dir: str):
+    """Keys and names of the parts, dealt to all cores: a file of few row groups is read by as few tasks, and what is done to a row costs far more than to move it."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").repartition(tasks)
+
+
 def _staged(spark, sf_dir: str, pairs: tuple):
     """The parts with their shapes' fields, x0 and so on."""
     shapes, name = _texts(pairs), F.col("p_name")

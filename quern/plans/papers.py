@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import match, parse, progress, repair, sequences
 from quern.plans.bank import QUESTIONS, _cte, _stage
+from quern.plans.cases import parts
 
 
 def _read(spark, sf_dir, name):
@@ -92,7 +93,7 @@ OPTIONS = {
 
 
 def tidied_options(spark, sf_dir):
-    staged = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("Consider: 1. a 2. b 3. c").alias("q"), F.split(F.replace(
+    staged = parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.lit("Consider: 1. a 2. b 3. c").alias("q"), F.split(F.replace(
         F.element_at(F.array(*[F.lit(x) for x in OPTIONS]), (F.col("p_partkey") % len(OPTIONS) + 1).cast("int")), F.lit("{w}"), F.col("p_name")), "~", -1).alias("options"))
     return repair.tidied_questions(staged).select("id", F.array_join("options", "~").alias("options"))
 

@@ -153,3 +153,8 @@ def test_ladder_states_are_kept_by_bucket(spark, tmp_path):
     assert len(got[0]) == 1501 and set(got[0]) == {(*r[:2], 0, dt.date(2024, 1, 2), False) for r in first[:-1]}
     after = {0: (1, dt.date(2024, 1, 5), False), 1: (0, dt.date(2024, 1, 3), False), 2: (0, None, True)}
     assert sorted(got[1], key=repr) == sorted([(*r[:2], *after[r[1]]) for r in second[:-1]] + [(None, 1, 1, dt.date(2024, 1, 6), False)], key=repr)
+
+
+@pytest.mark.parametrize("name", ("tidied_options",))
+def test_parts_of_one_file_are_worked_on_by_all_cores(spark, name):
+    assert registry.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
