@@ -138,7 +138,7 @@ def _staged(spark, sf_dir: str, pairs: tuple):
     fill = lambda s: F.replace(F.lit(s), F.lit("{w}"), name)
     place = (F.col("p_partkey") % len(shapes) + 1).cast("int")
     fields = [F.element_at(F.array(*[fill(s[k]) for s in shapes]), place).alias(f"x{k}") for k in range(len(shapes[0]))]
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", *fields)
+    return parts(spark, sf_dir).select("p_partkey", "p_name", *fields)
 
 
 def _case(name: str, case: Case):
