@@ -15,8 +15,7 @@ def _read(spark, sf_dir, name):
 
 def _texts(spark, sf_dir, shape: str):
     """(doc, text): a shape for each part, its name for {w} and key for {k}."""
-    p = _read(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("doc"), F.replace(F.replace(F.lit(shape), F.lit("{w}"), F.col("p_name")), F.lit("{k}"), F.col("p_partkey").cast("string")).alias("text"))
+    return parts(spark, sf_dir).select(F.col("p_partkey").alias("doc"), F.replace(F.replace(F.lit(shape), F.lit("{w}"), F.col("p_name")), F.lit("{k}"), F.col("p_partkey").cast("string")).alias("text"))
 
 
 PAPER = """GENERAL STUDIES
