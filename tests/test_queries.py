@@ -155,6 +155,6 @@ def test_ladder_states_are_kept_by_bucket(spark, tmp_path):
     assert sorted(got[1], key=repr) == sorted([(*r[:2], *after[r[1]]) for r in second[:-1]] + [(None, 1, 1, dt.date(2024, 1, 6), False)], key=repr)
 
 
-@pytest.mark.parametrize("name", ("tidied_options", "option_faults", "parsed_in_trust"))
+@pytest.mark.parametrize("name", ("tidied_options", "option_faults", "parsed_in_trust", "parsed_papers"))
 def test_parts_of_one_file_are_worked_on_by_all_cores(spark, name):
     assert registry.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
